@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from suitelens.llm.mixing import draw, shares
+from suitelens.llm.packing import contexts
 from suitelens.llm.setjoin import similar_pairs
 from suitelens.llm.topn import newest_of, top_n_per_group
 
@@ -78,7 +80,34 @@ met AS (
 SELECT field_name, x AS report_id_a, y AS report_id_b FROM met WHERE 10 * shared >= 7 * (na + nb - shared)
 """
 
+def p6_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    specs = spark.read.parquet(f"{sf}/container_spec.parquet")
+    return contexts(documents, specs, "doc_id", "text", "spec_id", "capacity_tokens")
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Per context what lies in it; the room left over is what the packing is to keep small."""
+    by = ["spec_id", "context_id", "capacity"]
+    filled = p6_contexts(spark, sf).groupBy(*by).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    return filled.withColumn("fill", F.round(F.col("tokens") / F.col("capacity"), 4))
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    return documents, spark.read.parquet(f"{sf}/mix_target.parquet")
+
+
+def p7_draw(spark: SparkSession, sf: str) -> DataFrame:
+    return draw(*_mix(spark, sf))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return shares(*_mix(spark, sf))
+
+
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p5_found": p5_found}
+QUERIES |= {"p6_contexts": p6_contexts, "p6_fill": p6_fill, "p7_draw": p7_draw, "p7_shares": p7_shares}
 SQL: dict[str, str] = {
     "p1_found": _BEST_SQL + "SELECT target_class, report_id FROM ranked WHERE position <= 10",
     "p1_ranked": _BEST_SQL + "SELECT target_class, position, report_id, round(fitness, 4) AS fitness FROM ranked WHERE position <= 10",

@@ -1,9 +1,12 @@
 """All pairs of set-valued records whose Jaccard similarity reaches a threshold, exactly.
 
-Equal sets are put together first, so copies cost nothing. Two sets of similarity t differ in at most
+Equal sets are put together first, so copies cost nothing. Values are ordered: those in few sets first, then the
+crowded ones by how often they occur. Two sets of similarity t share a value among the first |x| - ceil(t |x|) + 1 of
+both. Sets are filed under their first values that aren't crowded; two sets that share no such value both have crowded
+ones among their first, and only those sets are filed once more, as follows. Two sets of similarity t differ in at most
 (|x| + |y|) (1 - t) / (1 + t) values. For each range of sizes the values are dealt by their hash into just enough parts
 that two such sets must agree on some part but for one value; each set is filed under the sums of the hashes of its
-parts, and of its parts less one value. Sets meet under equal sums where at least one of both has its whole part.
+parts, and of its parts less one value. Sets meet where at least one of both has its whole part, so no crowd meets.
 What meets is thinned by sizes and 64-bit sketches inside the join, then checked on the sets themselves.
 """
 
@@ -19,7 +22,12 @@ from pyspark.sql import functions as F
 
 from suitelens.storage import staged
 
-_KEYS = "key long, whole boolean, own boolean, f1 long, f2 int, n int, sketch long"
+# key; name of the set; f2, size and flags in one number; sketch.
+_KEYS = "key long, f1 long, meta long, sketch long"
+_WHOLE, _OWN = 2, 1
+#: A value is crowded if more sets than this have it. The list of crowded values that is sent to all tasks holds no more
+#: than MOST of them, the most frequent ones; the others are treated like any value, which costs time but no pair.
+CROWD, MOST = 1000, 1 << 16
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -34,7 +42,22 @@ def size_levels(least: int, t: Fraction, up_to: int) -> list[tuple[int, int, int
     return out
 
 
-def _signer(least: int, t: Fraction):
+def _out(key, who, f1, f2, n, sketch, whole, own) -> pa.RecordBatch:
+    meta = (f2[who].astype(np.int64) << 32) | (n[who] << 2) | np.where(whole, _WHOLE, 0) | (_OWN if own else 0)
+    columns = [key.view(np.int64), f1[who], meta, sketch[who].view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "f1", "meta", "sketch"])
+
+
+def _mixed(key: np.ndarray) -> np.ndarray:
+    key = key * _ODD2
+    return key ^ (key >> np.uint64(29))
+
+
+def _signer(least: int, t: Fraction, crowded: np.ndarray, whole_only: bool):
+    """Files each set; ``crowded`` has the hashes of the crowded values, the most frequent last."""
+    by_hash = np.argsort(crowded)
+    in_order = crowded[by_hash]
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -44,44 +67,45 @@ def _signer(least: int, t: Fraction):
             values = np.asarray(lists.flatten()).view(np.uint64)
             f1, f2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             row = np.repeat(np.arange(len(n)), n)
-            sketch = np.zeros(len(n), np.uint64)
             begin = np.concatenate([[0], np.cumsum(n)[:-1]])
             sketch = np.bitwise_or.reduceat(np.uint64(1) << ((values * _ODD2) >> np.uint64(58)), begin)
+            # Prefixes: values that aren't crowded by their hash, then crowded ones by frequency.
+            rank = np.zeros(len(values), np.int64)
+            if len(in_order):
+                at = np.minimum(np.searchsorted(in_order, values), len(in_order) - 1)
+                rank = np.where(in_order[at] == values, by_hash[at] + 1, 0)
+            order = np.lexsort((values, rank, row))
+            length = n - -(-n * t.numerator // t.denominator) + 1
+            first = (np.arange(len(values)) - begin[row]) < length[row]
+            chosen = order[first]
+            plain = chosen[rank[chosen] == 0]
+            yield _out(_mixed(values[plain]), row[plain], f1, f2, n, sketch, True, True)
+            hot = np.zeros(len(n), bool)
+            hot[row[chosen[rank[chosen] > 0]]] = True
+            if not hot.any():
+                continue
             levels = size_levels(least, t, int(n.max()))
-            levels.append((levels[-1][1] + 1, 0, size_levels(least, t, levels[-1][1] + 1)[-1][2]))
-            level_of = np.searchsorted([high for _, high, _ in levels[:-1]], n)
-            for i, (_, _, parts) in enumerate(levels):
+            following = size_levels(least, t, levels[-1][1] + 1)[-1]
+            level_of = np.searchsorted([high for _, high, _ in levels], n)
+            for i, (_, _, parts) in enumerate([*levels, following]):
                 for own in (True, False):
-                    mine = level_of == (i if own else i - 1)
+                    mine = hot & (level_of == (i if own else i - 1))
                     if not mine.any():
                         continue
                     at = np.flatnonzero(mine)
                     v, r = values[mine[row]], np.repeat(np.arange(len(at)), n[at])
                     part = (((v * _ODD) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
                     slot = r * parts + part
-                    order = np.argsort(slot, kind="stable")
-                    v, slot = v[order], slot[order]
+                    turn = np.argsort(slot, kind="stable")
+                    v, slot = v[turn], slot[turn]
                     sums = np.zeros(len(at) * parts, np.uint64)
                     heads = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
                     sums[slot[heads]] = np.add.reduceat(v, heads)
-                    salt = (np.arange(parts, dtype=np.uint64) + np.uint64(i << 20)) * _ODD
+                    salt = (np.arange(parts, dtype=np.uint64) + np.uint64((i + 1) << 20)) * _ODD
                     whole = (sums.reshape(-1, parts) + salt).ravel()
-                    less = whole[slot] - v
-                    key = np.concatenate([whole, less]) * _ODD2
-                    key ^= key >> np.uint64(29)
-                    who = at[np.concatenate([np.repeat(np.arange(len(at)), parts), slot // parts])]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key.view(np.int64)),
-                            pa.array(np.arange(len(key)) < len(whole)),
-                            pa.array(np.full(len(key), own)),
-                            pa.array(f1[who]),
-                            pa.array(f2[who]),
-                            pa.array(n[who].astype(np.int32)),
-                            pa.array(sketch[who].view(np.int64)),
-                        ],
-                        names=["key", "whole", "own", "f1", "f2", "n", "sketch"],
-                    )
+                    yield _out(_mixed(whole), at[np.repeat(np.arange(len(at)), parts)], f1, f2, n, sketch, True, own)
+                    if not whole_only:
+                        yield _out(_mixed(whole[slot] - v), at[slot // parts], f1, f2, n, sketch, False, own)
 
     return sign
 
@@ -98,7 +122,7 @@ def value_sets(df: DataFrame, id_column: str, values: str, field: str, least: in
     )
 
 
-def similar_classes(sets: DataFrame, threshold: float, least: int) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float, least: int, crowd: int = CROWD) -> DataFrame:
     """(a1, a2, b1, b2): names of different sets of one field whose similarity is at least ``threshold``.
 
     ``sets`` has (f1, f2, tokens), repeated or not. Fields don't mix, as the field is part of a set's name and is
@@ -106,21 +130,27 @@ def similar_classes(sets: DataFrame, threshold: float, least: int) -> DataFrame:
     """
     t = Fraction(str(threshold))
     classes = sets.groupBy("f1", "f2").agg(F.first("tokens").alias("tokens"))
-    keys = staged(classes.mapInArrow(_signer(least, t), _KEYS), "set-keys")
-    a, b = keys.filter("whole").alias("a"), keys.alias("b")
-    name = lambda x: F.struct(F.col(f"{x}.f1").alias("f1"), F.col(f"{x}.f2").alias("f2"))
-    many = F.greatest(F.col("a.n"), F.col("b.n"))
-    few = F.least(F.col("a.n"), F.col("b.n"))
-    both = F.col("a.n") + F.col("b.n")
+    often = classes.select(F.explode("tokens").alias("value")).groupBy("value").count().filter(F.col("count") > crowd)
+    crowded = [r[0] for r in often.orderBy(F.col("count").desc(), "value").limit(MOST).select("value").collect()]
+    hashes = np.array(crowded[::-1], np.int64).view(np.uint64)
+
+    def side(whole_only: bool) -> DataFrame:
+        return classes.mapInArrow(_signer(least, t, hashes, whole_only), _KEYS)
+
+    a, b = side(True).alias("a"), side(False).alias("b")
+    size = lambda x: F.shiftright(F.col(f"{x}.meta"), 2).bitwiseAND(F.lit((1 << 30) - 1))
+    flag = lambda x, bit: F.col(f"{x}.meta").bitwiseAND(F.lit(bit)) != 0
+    name = lambda x: F.struct(F.col(f"{x}.f1").alias("f1"), F.shiftright(F.col(f"{x}.meta"), 32).cast("int").alias("f2"))
+    many, few, both = F.greatest(size("a"), size("b")), F.least(size("a"), size("b")), size("a") + size("b")
     may = (
         (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.own") | F.col("b.own"))
+        & (flag("a", _OWN) | flag("b", _OWN))
         & (few * t.denominator >= many * t.numerator)
         & (
             F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) * (t.denominator + t.numerator)
             <= both * (t.denominator - t.numerator)
         )
-        & (F.when(F.col("b.whole"), name("a") < name("b")).otherwise(name("a") != name("b")))
+        & (F.when(flag("b", _WHOLE), name("a") < name("b")).otherwise(name("a") != name("b")))
     )
     met = (
         a.join(b, may)
@@ -141,7 +171,7 @@ def similar_classes(sets: DataFrame, threshold: float, least: int) -> DataFrame:
 
 
 def similar_pairs(
-    df: DataFrame, id_column: str, fields: list[str], threshold: float, least: int = 1
+    df: DataFrame, id_column: str, fields: list[str], threshold: float, least: int = 1, crowd: int = CROWD
 ) -> DataFrame:
     """(field_name, id_a, id_b), id_a < id_b: rows whose sets in a field have a Jaccard similarity of ``threshold`` or more.
 
@@ -154,7 +184,7 @@ def similar_pairs(
         part = value_sets(df, id_column, field, field, max(least, 1))
         parts = part if parts is None else parts.unionAll(part)
     sets = staged(parts, "sets")
-    pairs = staged(similar_classes(sets, threshold, max(least, 1)), "set-pairs")
+    pairs = staged(similar_classes(sets, threshold, max(least, 1), crowd), "set-pairs")
     members = sets.select("id", "field", "f1", "f2")
     a = members.select(F.col("id").alias("ia"), F.col("field").alias("field_name"), F.col("f1").alias("a1"), F.col("f2").alias("a2"))
     b = members.select(F.col("id").alias("ib"), F.col("f1").alias("b1"), F.col("f2").alias("b2"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from suitelens.llm.mixing import draw, shares
 from suitelens.llm.packing import contexts
 from suitelens.llm.setjoin import similar_pairs
+from suitelens.llm.syntax.files import LANGUAGES, syntax_errors
 from suitelens.llm.topn import newest_of, top_n_per_group
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,40 @@ ranked AS (
 """
 
 
+def _broken(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    files = spark.read.parquet(f"{sf}/source_file.parquet")
+    return syntax_errors(files, "file_id", "path", "code", list(keep))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _broken(spark, sf).select("file_id")
+
+
+def p3_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The first wrong token of each broken file, and what the answers its test was written from hint at.
+
+    ``lost`` says that a call of a registered test file of this path ended with fewer characters than the file has.
+    """
+    broken = _broken(spark, sf, "project", "path", "size")
+    calls = spark.read.parquet(f"{sf}/llm_call_stats.parquet").filter(F.col("test_file_id").isNotNull())
+    longest = calls.groupBy("test_file_id").agg(F.max("response_length").alias("longest_response"))
+    tests = spark.read.parquet(f"{sf}/test_file_stats.parquet").select("test_file_id", "project", F.col("test_file_path").alias("path"))
+    answered = tests.join(longest, "test_file_id").groupBy("project", "path").agg(F.max("longest_response").alias("longest_response"))
+    return broken.join(answered, ["project", "path"], "left").withColumn("lost", F.col("longest_response") < F.col("size"))
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Per project and language how many files there are and what share of them does not parse."""
+    ending = F.lower(F.regexp_extract(F.col("path"), r"\.([A-Za-z]+)\s*$", 1))
+    named = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    files = spark.read.parquet(f"{sf}/source_file.parquet").filter(F.col("code").isNotNull() & ending.isin(*LANGUAGES))
+    every = files.select("project", named[ending].alias("language")).groupBy("project", "language").agg(F.count(F.lit(1)).alias("files"))
+    broken = _broken(spark, sf, "project").groupBy("project", "language").agg(F.count(F.lit(1)).alias("broken"))
+    both = every.alias("e").join(broken.alias("b"), F.expr("e.project <=> b.project AND e.language = b.language"), "left")
+    n = F.coalesce(F.col("broken"), F.lit(0))
+    return both.select("e.project", "e.language", "files", n.alias("broken"), F.round(n / F.col("files"), 4).alias("rate"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     reports = spark.read.parquet(f"{sf}/coverage_report.parquet")
     pairs = similar_pairs(reports, "report_id", ["covered_methods", "uncovered_methods"], 0.7, 5)
@@ -107,6 +142,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p5_found": p5_found}
+QUERIES |= {"p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates}
 QUERIES |= {"p6_contexts": p6_contexts, "p6_fill": p6_fill, "p7_draw": p7_draw, "p7_shares": p7_shares}
 SQL: dict[str, str] = {
     "p1_found": _BEST_SQL + "SELECT target_class, report_id FROM ranked WHERE position <= 10",

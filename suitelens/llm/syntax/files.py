@@ -37,11 +37,12 @@ class Parser:
     def first_error(self, code: str) -> tuple[int, str] | None:
         """(line, kind of the token) of the first token that nothing valid could go on with; None if all parses."""
         kinds, at = self.lexer(code, self.cache)
-        if self.language == "java":
-            kept = [(k, a) for k, a in zip(kinds, at) if k]
-            kinds, at = [k for k, _ in kept], [a for _, a in kept]
-        get, bad = self.numbers.get, self.bad
-        where = self.run.first_error(bytes([get(k, bad) for k in kinds]))
+        number, bad = self.numbers, self.bad
+        try:
+            coded = bytes([number[k] for k in kinds])
+        except KeyError:
+            coded = bytes([number.get(k, bad) for k in kinds])
+        where = self.run.first_error(coded)
         if where is None:
             return None
         kind = kinds[where] if where < len(kinds) else "end of file"
@@ -49,7 +50,7 @@ class Parser:
             return code.count("\n") + 1, kind
         offset = at[where]
         if self.language == "java":
-            offset = len("".join(java._TOKEN.findall(code)[:offset]))
+            offset = java.offset(code, offset)
         return code.count("\n", 0, offset) + 1, kind
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 
 _TOKEN = re.compile(
-    r"""[\s\x1a]+|//[^\n\r]*|/\*[\s\S]*?\*/|/\*[\s\S]*"""
-    r'''|"""[ \t\f]*\r?\n(?:[^\\]|\\[\s\S])*?"""|"(?:[^"\\\n\r]|\\[^\n\r])*"|'(?:[^'\\\n\r]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)\''''
+    r"""(?:[\s\x1a]++|//[^\n\r]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+"""
+    r'''((?:[^\W\d]|\$)[\w$]*+(?<!\bnon)|non-sealed\b|non\b|[.;,()\[\]{}@?~](?!\.\.|\d)|"""[ \t\f]*\r?\n(?:[^\\]|\\[\s\S])*?"""|"(?:[^"\\\n\r]|\\[^\n\r])*+"'''
+    r"""|'(?:[^'\\\n\r]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)'"""
     r"""|(?:0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*(?:[pP][+-]?\d+)?|0[bB][01_]+|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)[lLfFdD]?"""
-    r"""|non-sealed\b|(?:[^\W\d]|\$)[\w$]*|>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||[=!<>+\-*/&|^%]=|<<|[\s\S]"""
+    r"""|>>>=|<<=|>>=|>>>|>>|\.\.\.|->|::|\+\+|--|&&|\|\||[=!<>+\-*/&|^%]=|<<|/\*|[\s\S]|\Z)"""
 )
-_MODIFIERS = "public protected private abstract static final transient volatile strictfp native sealed non-sealed".split()
+_MODIFIERS = "public protected private abstract static final transient volatile strictfp native non-sealed".split()
 _PRIMITIVES = "boolean byte short int long char float double".split()
 _KEYWORDS = (
     "package import class interface enum extends implements throws void new this super if else while do for return break"
@@ -18,25 +19,27 @@ _KEYWORDS = (
 ).split()
 _CLASS = {w: "MOD" for w in _MODIFIERS} | {w: "PRIM" for w in _PRIMITIVES} | {w: w for w in _KEYWORDS}
 _CLASS |= dict.fromkeys(("true", "false", "null"), "LIT") | dict.fromkeys(("goto", "const", "_"), "BAD")
-_CLASS |= {c: c for c in ("(", ")", "{", "}", "[", "]", ";", ",", ".", "...", "@", "::", "->", "?", ":", "=", "*", "&", "|")}
-_CLASS |= {"<": "<", ">": ">", "++": "INCDEC", "--": "INCDEC", "+": "PM", "-": "PM", "!": "NOT", "~": "NOT"}
+#: Words that are names unless their surroundings say otherwise.
+_CLASS |= {w: w for w in ("record", "yield", "permits", "sealed")}
+_CLASS |= {c: c for c in ("(", ")", "{", "}", "[", "]", ";", ",", ".", "...", "@", "::", "->", "?", ":", "=", "*", "&", "|", "<", ">", ">>", ">>>")}
+_CLASS |= {"++": "INCDEC", "--": "INCDEC", "+": "PM", "-": "PM", "!": "NOT", "~": "NOT"}
 _CLASS |= dict.fromkeys(("&&", "||", "==", "!=", "<=", ">=", "<<", "/", "%", "^"), "BIN")
 _CLASS |= dict.fromkeys(("+=", "-=", "*=", "/=", "&=", "|=", "^=", "%=", "<<=", ">>=", ">>>="), "ASSIGN")
-_IN_BRACKETS = {"ID", ".", ",", "?", "extends", "super", "&", "PRIM", "[", "]", "@", "<", ">"}
+_IN_BRACKETS = {"ID", ".", ",", "?", "extends", "super", "&", "PRIM", "[", "]", "@", "<", ">", ">>", ">>>", "DIM", ""}
 _AFTER_BRACKETS = {
     "ID", "(", ")", "]", "}", ".", ",", ";", "{", "::", "...", "[", "@", "extends", "implements", ":", "=", "?", ">", "&",
     "this", "super", "throws", "PRIM", "void", "BIN",
 }
 _OPERAND = {"ID", "LIT", "(", "NOT", "this", "super", "new", "switch", "PRIM", "void"}
-_NO_CAST_AFTER = {"ID", ")", "]", "this", "super", "if", "while", "for", "switch", "synchronized", "catch", "try", "LIT", ">", "TGT"}
+_NO_CAST_AFTER = {"ID", ")", "]", "this", "super", "if", "while", "for", "switch", "synchronized", "catch", "try", "LIT", "DIM", "TGT", "TGT2", "TGT3"}
+_DECIDE = {"<", ">", ">>", ">>>", "[", "@", "(", "case", "default", "synchronized", "record", "yield", "permits", "sealed"}
+_AS_NAME = {"record", "yield", "permits", "sealed", "RECORD", "YIELD", "PERMITS"}
 
 
-def _kind(token: str, cache: dict) -> str | None:
+def _kind(token: str) -> str:
     c = token[0]
-    if c in " \t\n\r\f\x0b\x1a" or token.isspace() or token.startswith(("//", "/*")):
-        return "BAD" if token.startswith("/*") and not (token.endswith("*/") and len(token) > 3) else None
     if c == '"':
-        return "LIT" if len(token) > 1 and token.endswith('"') else "BAD"
+        return "LIT" if len(token) > 1 else "BAD"
     if c == "'":
         return "LIT" if len(token) > 1 else "BAD"
     if c.isdigit() or c == "." and len(token) > 1 and token != "...":
@@ -47,20 +50,30 @@ def _kind(token: str, cache: dict) -> str | None:
 
 
 def tokens(code: str, cache: dict) -> tuple[list[str], list[int]]:
-    """(kinds, where each begins). Offsets are counted by the caller only when needed: here they are token numbers."""
-    found = _TOKEN.findall(code)
-    kinds, at = [], []
-    for i, token in enumerate(found):
-        k = cache.get(token, "")
-        if k == "":
-            k = _kind(token, cache)
-            if len(token) < 40 and len(cache) < 500_000:
-                cache[token] = k
-        if k is not None:
-            kinds.append(k)
-            at.append(i)
-    words = [found[i] for i in at]
-    return _decided(kinds, words, at), at
+    """(kinds, numbers of the tokens they begin in), for positions() to tell where those are."""
+    words = _TOKEN.findall(code)
+    while words and not words[-1]:
+        words.pop()
+    kinds = list(map(cache.get, words))
+    if None in kinds:
+        for i, k in enumerate(kinds):
+            if k is None:
+                word = words[i]
+                kinds[i] = k = _kind(word) if word else "BAD"
+                if len(word) < 40 and len(cache) < 500_000:
+                    cache[word] = k
+    number = _decided(kinds)
+    if number is None:
+        return kinds, range(len(kinds))
+    return [kinds[i] for i in number], number
+
+
+def offset(code: str, number: int) -> int:
+    """Where the token with this number begins."""
+    for i, m in enumerate(_TOKEN.finditer(code)):
+        if i == number:
+            return m.start(1)
+    return len(code)
 
 
 def _close(kinds: list[str]) -> dict[int, int]:
@@ -82,56 +95,74 @@ def _brackets(kinds: list[str], i: int) -> int:
             return -1
         if k == "<":
             depth += 1
-        elif k == ">":
-            depth -= 1
+        elif k in (">", ">>", ">>>"):
+            depth -= len(k)
             if depth == 0:
                 after = kinds[j + 1] if j + 1 < n else ";"
-                return j if after in _AFTER_BRACKETS or i and kinds[i - 1] in (".", "::") else -1
+                return j if after in _AFTER_BRACKETS or after in _AS_NAME or i and kinds[i - 1] in (".", "::") else -1
+            if depth < 0:
+                return -1
     return -1
 
 
-def _decided(kinds: list[str], words: list[str], at: list[int]) -> list[str]:
+_OPENERS = {"ID", ".", "::", "MOD", "new", ";", "{", "}", "this", "default", ")"} | _AS_NAME
+_BRACKET_KINDS = {"<": "TLT", ">": "TGT", ">>": "TGT2", ">>>": "TGT3"}
+
+
+def _decided(kinds: list[str]) -> list[int] | None:
+    """Settle the kinds in place. Returns which to keep, repeated where a token counts more than once; None: all."""
     n = len(kinds)
     close = _close(kinds)
-    opened = {j: i for i, j in close.items()}
-    for i in range(n):  # in order: later decisions see earlier ones
+    opened: dict[int, int] | None = None
+    changed = False
+    for i in [i for i, k in enumerate(kinds) if k in _DECIDE]:  # in order: later decisions see earlier ones
         k = kinds[i]
-        if k == "<":
-            end = _brackets(kinds, i) if i and kinds[i - 1] in ("ID", ".", "::", "MOD", "new", ";", "{", "}", "this", "default", ")") else -1
-            if end > 0:
-                for j in range(i, end + 1):
-                    kinds[j] = {"<": "TLT", ">": "TGT"}.get(kinds[j], kinds[j])
-            else:
-                kinds[i] = "BIN"
-        elif k == ">":
-            # What is left are comparisons and shifts; the signs of a shift stand together.
-            kinds[i] = "BIN"
-            j = i + 1
-            while j < n and kinds[j] == ">" and at[j] == at[j - 1] + 1:
-                kinds[j] = ""
-                j += 1
-        elif k == "[" and i + 1 < n and kinds[i + 1] == "]":
-            kinds[i], kinds[i + 1] = "DIM", ""
-        elif k == "@" and i + 1 < n and kinds[i + 1] == "interface":
-            kinds[i], kinds[i + 1] = "ATINTERFACE", ""
-        elif k == "(":
+        after = kinds[i + 1] if i + 1 < n else ""
+        before = kinds[i - 1] if i else ""
+        if k == "(":
             j = close.get(i)
             if j is None or j + 1 >= n:
                 continue
-            after, before = kinds[j + 1], kinds[i - 1] if i else ""
-            if after == "->" and before not in ("ID", "case"):
+            beyond = kinds[j + 1]
+            if beyond == "->" and before != "ID" and before != "case":
                 kinds[i] = "LLP"
-            elif before not in _NO_CAST_AFTER or before == ")" and kinds[opened.get(i - 1, 0)] == "CLP":
-                inner = kinds[i + 1 : j]
-                if inner and inner[0] == "PRIM" and all(x in ("PRIM", "[", "]") for x in inner) and after != "->":
-                    kinds[i] = "CLP"
-                elif after in _OPERAND and inner and inner[0] in ("ID", "@") and inner[-1] in ("ID", ">", "]"):
-                    if all(x in _IN_BRACKETS for x in inner) and not any(a == b == "ID" for a, b in zip(inner, inner[1:])):
+                continue
+            if before in _NO_CAST_AFTER:
+                if before != ")":
+                    continue
+                if opened is None:
+                    opened = {j: i for i, j in close.items()}
+                if kinds[opened.get(i - 1, 0)] != "CLP":
+                    continue
+            inner = kinds[i + 1 : j]
+            if not inner:
+                continue
+            if inner[0] == "PRIM" and beyond != "->" and all(x in ("PRIM", "[", "]") for x in inner):
+                kinds[i] = "CLP"
+            elif beyond in _OPERAND or beyond in _AS_NAME:
+                if inner[0] in ("ID", "@") and inner[-1] in ("ID", ">", ">>", ">>>", "]") and all(x in _IN_BRACKETS for x in inner):
+                    if not any(a == b == "ID" for a, b in zip(inner, inner[1:])):
                         kinds[i] = "CLP"
+        elif k == "<":
+            end = _brackets(kinds, i) if before in _OPENERS else -1
+            if end > 0:
+                for j in range(i, end + 1):
+                    kinds[j] = _BRACKET_KINDS.get(kinds[j], kinds[j])
+                    changed = changed or kinds[j] in ("TGT2", "TGT3")
+            else:
+                kinds[i] = "BIN"
+        elif k in (">", ">>", ">>>"):
+            kinds[i] = "BIN"  # what is left are comparisons and shifts
+        elif k == "[":
+            if after == "]":
+                kinds[i], kinds[i + 1], changed = "DIM", "", True
+        elif k == "@":
+            if after == "interface":
+                kinds[i], kinds[i + 1], changed = "ATINTERFACE", "", True
         elif k == "case":
             depth = 0
             for j in range(i + 1, n):
-                if kinds[j] in ("(", "{", "["):
+                if kinds[j] in ("(", "{", "[", "LLP", "CLP"):
                     depth += 1
                 elif kinds[j] in (")", "}", "]"):
                     depth -= 1
@@ -141,26 +172,33 @@ def _decided(kinds: list[str], words: list[str], at: list[int]) -> list[str]:
                 if depth < 0 or not depth and kinds[j] in (":", ";"):
                     break
         elif k == "default":
-            after = kinds[i + 1] if i + 1 < n else ""
             if after in (":", "->"):
                 kinds[i] = "DEFAULT"
                 if after == "->":
                     kinds[i + 1] = "CARROW"
             else:
-                kinds[i] = "DEFVAL" if i and kinds[i - 1] in (")", "") else "MOD"
+                kinds[i] = "DEFVAL" if before in (")", "", "DIM") else "MOD"
         elif k == "synchronized":
-            kinds[i] = "SYNC" if i + 1 < n and kinds[i + 1] == "(" else "MOD"
-        elif k == "MOD" and words[i] == "sealed" and not (i + 1 < n and kinds[i + 1] in ("MOD", "class", "interface", "@")):
-            kinds[i] = "ID"
-        elif k == "ID":
-            w = words[i]
-            after = kinds[i + 1] if i + 1 < n else ""
-            if w == "record" and after == "ID" and i + 2 < n and kinds[i + 2] in ("(", "<"):
-                kinds[i] = "RECORD"
-            elif w == "yield" and after in ("ID", "LIT", "NOT", "new", "this", "super", "switch", "(", "PM") and (
-                not i or kinds[i - 1] in ("{", "}", ";", ")", "else", ":", "->", "CARROW")
-            ):
-                kinds[i] = "YIELD" if after != "(" or kinds[close.get(i + 1, i) + 1 :][:1] != [";"] else "ID"
-            elif w == "permits" and after == "ID" and i and kinds[i - 1] in ("ID", "TGT"):
-                kinds[i] = "PERMITS"
-    return kinds
+            kinds[i] = "SYNC" if after == "(" else "MOD"
+        elif k == "sealed":
+            kinds[i] = "MOD" if after in ("MOD", "class", "interface", "@") else "ID"
+        elif k == "record":
+            named = (after == "ID" or after in _AS_NAME) and i + 2 < n and kinds[i + 2] in ("(", "<")
+            kinds[i] = "RECORD" if named else "ID"
+        elif k == "permits":
+            kinds[i] = "PERMITS" if after == "ID" and before in ("ID", "TGT", "TGT2", "TGT3") else "ID"
+        elif k == "yield":
+            goes_on = after in ("ID", "LIT", "NOT", "new", "this", "super", "switch", "(", "PM")
+            begins = not i or before in ("{", "}", ";", ")", "else", ":", "->", "CARROW")
+            call = after == "(" and kinds[close.get(i + 1, i) + 1 :][:1] == [";"]
+            kinds[i] = "YIELD" if goes_on and begins and not call else "ID"
+    if not changed:
+        return None
+    out = []
+    for i, k in enumerate(kinds):
+        if k == "TGT2" or k == "TGT3":
+            out += [i] * int(k[3])
+            kinds[i] = "TGT"
+        elif k:
+            out.append(i)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from suitelens.llm.mixing import draw, shares
 from suitelens.llm.packing import contexts
+from suitelens.llm.secrets.find import find_credentials
 from suitelens.llm.setjoin import similar_pairs
 from suitelens.llm.syntax.files import LANGUAGES, syntax_errors
 from suitelens.llm.topn import newest_of, top_n_per_group
@@ -60,6 +61,26 @@ ranked AS (
 """
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    files = spark.read.parquet(f"{sf}/source_file.parquet")
+    clients = spark.read.parquet(f"{sf}/llm_client.parquet")
+    columns = [F.col("record_id"), F.col("line_no")]
+    code = find_credentials(files, "file_id", "code").withColumnRenamed("file_id", "record_id")
+    keys = find_credentials(clients, "client_id", "key", field="key").withColumnRenamed("client_id", "record_id")
+    return code.select(F.lit("source_file").alias("place"), *columns).unionAll(keys.select(F.lit("llm_client").alias("place"), *columns))
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with only its credentials replaced, and how many there were."""
+    files = spark.read.parquet(f"{sf}/source_file.parquet")
+    clients = spark.read.parquet(f"{sf}/llm_client.parquet")
+    code = find_credentials(files, "file_id", "code", redact=True)
+    keys = find_credentials(clients, "client_id", "key", field="key", redact=True)
+    return code.select(F.lit("source_file").alias("place"), F.col("file_id").alias("record_id"), F.col("code").alias("text"), "credentials").unionAll(
+        keys.select(F.lit("llm_client").alias("place"), F.col("client_id").alias("record_id"), F.col("key").alias("text"), "credentials")
+    )
+
+
 def _broken(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     files = spark.read.parquet(f"{sf}/source_file.parquet")
     return syntax_errors(files, "file_id", "path", "code", list(keep))
@@ -142,6 +163,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p5_found": p5_found}
+QUERIES |= {"p2_found": p2_found, "p2_redacted": p2_redacted}
 QUERIES |= {"p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates}
 QUERIES |= {"p6_contexts": p6_contexts, "p6_fill": p6_fill, "p7_draw": p7_draw, "p7_shares": p7_shares}
 SQL: dict[str, str] = {

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitelens.llm.mixing import draw, shares
+from suitelens.llm.mixing import draw, shares, source_name
 from suitelens.llm.packing import contexts
 from suitelens.llm.secrets.find import find_credentials
 from suitelens.llm.setjoin import similar_pairs
 from suitelens.llm.syntax.files import LANGUAGES, syntax_errors
 from suitelens.llm.topn import newest_of, top_n_per_group
+from suitelens.llm.toxic.nearest import harm_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -162,9 +163,29 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(*_mix(spark, sf))
 
 
+HARMFUL_FROM = 0.5
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    return harm_scores(documents, "doc_id", "text", ["source"])
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_scores(spark, sf).filter(F.col("score") >= HARMFUL_FROM).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source, in one spelling, how many of its documents are harmful; documents without source are one group."""
+    harmful = F.count_if(F.col("score") >= HARMFUL_FROM)
+    by = p8_scores(spark, sf).groupBy(source_name(F.col("source")).alias("source"))
+    return by.agg(F.count(F.lit(1)).alias("documents"), harmful.alias("harmful"), F.round(harmful / F.count(F.lit(1)), 4).alias("rate"))
+
+
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p5_found": p5_found}
 QUERIES |= {"p2_found": p2_found, "p2_redacted": p2_redacted}
 QUERIES |= {"p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates}
+QUERIES |= {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 QUERIES |= {"p6_contexts": p6_contexts, "p6_fill": p6_fill, "p7_draw": p7_draw, "p7_shares": p7_shares}
 SQL: dict[str, str] = {
     "p1_found": _BEST_SQL + "SELECT target_class, report_id FROM ranked WHERE position <= 10",

@@ -112,7 +112,7 @@ def _signer(least: int, t: Fraction, crowded: np.ndarray, whole_only: bool):
 
 def value_sets(df: DataFrame, id_column: str, values: str, field: str, least: int) -> DataFrame:
     """(id, field, f1, f2, tokens): the sorted distinct hashes of the values that are not null, and a 96-bit name of the set."""
-    hashed = F.transform(F.filter(F.col(values), lambda x: x.isNotNull()), lambda x: F.xxhash64(x))
+    hashed = F.transform(F.filter(F.col(values), lambda x: x.isNotNull()), lambda x: F.xxhash64(F.lit(field), x))
     tokens = F.array_sort(F.array_distinct(hashed))
     return (
         df.filter(F.size(values) >= least)
@@ -125,8 +125,7 @@ def value_sets(df: DataFrame, id_column: str, values: str, field: str, least: in
 def similar_classes(sets: DataFrame, threshold: float, least: int, crowd: int = CROWD) -> DataFrame:
     """(a1, a2, b1, b2): names of different sets of one field whose similarity is at least ``threshold``.
 
-    ``sets`` has (f1, f2, tokens), repeated or not. Fields don't mix, as the field is part of a set's name and is
-    checked through it: callers pass one field at a time or keep the fields' values apart.
+    ``sets`` has (f1, f2, tokens), repeated or not. Fields don't mix: equal values of two fields have different hashes.
     """
     t = Fraction(str(threshold))
     classes = sets.groupBy("f1", "f2").agg(F.first("tokens").alias("tokens"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from suitelens.functions import names, rules
 from suitelens.plans.base import table
 from suitelens.plans.references import test_class_name, test_file_name
+from suitelens.sources import java_source
 
 SQL = {}
 
@@ -220,4 +221,11 @@ def next_version(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["next_version"] = rf"SELECT target_class, coalesce(max(try_cast(nullif(regexp_extract({_NAME}, 'V([0-9]+)$', 1), '') AS INT)), 0) + 1 AS next_version FROM coverage_report WHERE target_class IS NOT NULL AND test_class IS NOT NULL GROUP BY 1"
 
-QUERIES = {name: globals()[name] for name in SQL}
+
+def java_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Types, methods and calls of all Java files, by a scanner that SQL has no counterpart of."""
+    files = table(spark, sf, "source_file").filter("path LIKE '%.java'")
+    return java_source.java_facts(files, "file_id", "code")
+
+
+QUERIES = {name: globals()[name] for name in [*SQL, "java_facts"]}

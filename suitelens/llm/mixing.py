@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suitelens.llm.tokens import VOCABULARY, with_token_counts
@@ -124,8 +124,8 @@ def shares(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     rows = [(s.name, s.target, s.limit, have.get(s.name, (0, 0))[1], s.tokens) for s in sources]
     listed = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, texts long, tokens long")
     joined = listed.join(drawn, "source", "left").na.fill(0, ["drawn_tokens", "repeats", "drawn_texts"])
-    total = drawn.agg(F.sum("drawn_tokens").alias("total"))
-    return joined.crossJoin(F.broadcast(total)).select(  # one row
+    total = F.sum("drawn_tokens").over(Window.partitionBy(F.lit(0)))  # over the listed sources
+    return joined.select(
         *listed.columns, "drawn_texts", "drawn_tokens", "repeats",
-        F.round(F.try_divide(F.col("drawn_tokens"), F.col("total")), 6).alias("actual_share"),
+        F.round(F.try_divide(F.col("drawn_tokens"), total), 6).alias("actual_share"),
     )

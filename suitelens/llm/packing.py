@@ -145,10 +145,14 @@ def contexts(
     """
     spark = documents.sparkSession
     sizes = staged(with_token_counts(documents.select(F.col(id_column).alias("_id"), text), text, "_n", vocabulary), "sizes")
-    wanted = specs.select(spec_id, F.col(capacity).cast("long").alias("capacity")).filter("capacity > 0").distinct()
+    wanted = specs.select(F.col(spec_id).cast("int"), F.col(capacity).cast("long")).filter(F.col(capacity) > 0).distinct().collect()
+    each = F.array(*(F.struct(F.lit(s).cast("int").alias("s"), F.lit(c).cast("long").alias("c")) for s, c in wanted))
+    if not wanted:
+        each = F.expr("cast(array() as array<struct<s:int,c:bigint>>)")
     pieces = (
         sizes.filter("_n > 0")
-        .crossJoin(F.broadcast(wanted))  # a handful of specs for every text
+        .withColumn("_spec", F.explode(each))
+        .select("_id", "_n", F.col("_spec.s").alias(spec_id), F.col("_spec.c").alias("capacity"))
         .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_n - 1) div capacity"))))
         .select(
             spec_id, "capacity", "_id", F.col("_piece").alias("piece_no"),

@@ -85,10 +85,10 @@ SQL["eliminated_suites"] = f"WITH {SCORED_SQL}, ranked AS (SELECT *, {_BEST_SQL}
 
 
 def _means(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).groupBy("class_id", "gen").agg(F.round(F.avg("fitness"), 6).alias("mean_fitness"), F.max("fitness").alias("best_fitness"))
+    return scored(spark, sf).groupBy("class_id", "gen").agg(F.round(F.avg("fitness"), 8).alias("mean_fitness"), F.max("fitness").alias("best_fitness"))
 
 
-_MEANS_SQL = SCORED_SQL + ", means AS (SELECT class_id, gen, round(avg(fitness), 6) AS mean_fitness, max(fitness) AS best_fitness FROM scored GROUP BY 1, 2)"
+_MEANS_SQL = SCORED_SQL + ", means AS (SELECT class_id, gen, round(avg(fitness), 8) AS mean_fitness, max(fitness) AS best_fitness FROM scored GROUP BY 1, 2)"
 
 
 def generation_mean_fitness(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,11 +100,11 @@ SQL["generation_mean_fitness"] = f"WITH {_MEANS_SQL} SELECT class_id, gen, mean_
 
 def fitness_history(spark: SparkSession, sf: str) -> DataFrame:
     """The mean of each generation in order, one row per class; a class has few generations."""
-    ordered = F.array_sort(F.collect_list(F.struct("gen", F.round("mean_fitness", 4).alias("f"))))
-    return _means(spark, sf).groupBy("class_id").agg(F.array_join(F.transform(ordered, lambda x: F.format_number(x["f"], 4)), ";").alias("history"))
+    ordered = F.array_sort(F.collect_list(F.struct("gen", F.col("mean_fitness").alias("f"))))
+    return _means(spark, sf).groupBy("class_id").agg(F.array_join(F.transform(ordered, lambda x: F.format_number(x["f"], 8)), ";").alias("history"))
 
 
-SQL["fitness_history"] = f"WITH {_MEANS_SQL} SELECT class_id, string_agg(printf('%.4f', round(mean_fitness, 4)), ';' ORDER BY gen) AS history FROM means GROUP BY 1"
+SQL["fitness_history"] = f"WITH {_MEANS_SQL} SELECT class_id, string_agg(printf('%.8f', mean_fitness), ';' ORDER BY gen) AS history FROM means GROUP BY 1"
 
 
 def fitness_improvement(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from suitelens.llm.syntax import java, markup, python3
 from suitelens.llm.syntax.lalr import Recogniser, build
+from suitelens.operators.spread import spread
 
 #: ending: language
 LANGUAGES = {"java": "java", "json": "json", "xml": "xml", "py": "python", "yml": "yaml", "yaml": "yaml"}
@@ -86,6 +87,7 @@ def syntax_errors(df: DataFrame, id_column: str, path: str, code: str, keep: lis
     known = df.select(id_column, *keep, ending.alias("_ending"), F.col(code).alias("_code")).filter(
         F.col("_code").isNotNull() & ending.isin(*LANGUAGES)
     )
+    known = spread(known)
     names = [id_column, *keep, "language", "line", "token"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

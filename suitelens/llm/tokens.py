@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from suitelens.operators.spread import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,4 +42,4 @@ def with_token_counts(df: DataFrame, text: str, name: str = "n_tokens", vocabula
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     fields = [T.StructField(name, T.LongType()) if f.name == text else f for f in df.schema]
-    return df.mapInArrow(count, T.StructType(fields))
+    return spread(df).mapInArrow(count, T.StructType(fields))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from suitelens.llm.toxic.examples import labelled
 from suitelens.llm.toxic.features import BITS, bucket, features, sentences
+from suitelens.operators.spread import spread
 
 BLOCK, NEIGHBOURS, FLOOR = 64, 6, 0.25
 
@@ -45,7 +46,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], documents))], names=["term", "n"])
 
-    rows = df.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    rows = spread(df.select(text)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << BITS, np.int64)
     real = rows[rows.term >= 0]
     out[real.term.to_numpy()] = real.n.to_numpy()
@@ -184,6 +185,6 @@ def harm_scores(df: DataFrame, id_column: str, text: str, keep: list[str] = ())
             columns = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, pa.string()), pa.array(example, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    known = df.select(id_column, *keep, F.col(text).alias("_text"))
+    known = spread(df.select(id_column, *keep, F.col(text).alias("_text")))
     schema = known.drop("_text").schema.add("score", "double").add("evidence", "string").add("example", "string")
     return known.mapInArrow(judge, schema)

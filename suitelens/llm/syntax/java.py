@@ -32,7 +32,7 @@ _AFTER_BRACKETS = {
 }
 _OPERAND = {"ID", "LIT", "(", "NOT", "this", "super", "new", "switch", "PRIM", "void"}
 _NO_CAST_AFTER = {"ID", ")", "]", "this", "super", "if", "while", "for", "switch", "synchronized", "catch", "try", "LIT", "DIM", "TGT", "TGT2", "TGT3"}
-_DECIDE = {"<", ">", ">>", ">>>", "[", "@", "(", "case", "default", "synchronized", "record", "yield", "permits", "sealed"}
+_DECIDE = {")", "<", ">", ">>", ">>>", "[", "@", "(", "case", "default", "synchronized", "record", "yield", "permits", "sealed"}
 _AS_NAME = {"record", "yield", "permits", "sealed", "RECORD", "YIELD", "PERMITS"}
 
 
@@ -76,9 +76,10 @@ def offset(code: str, number: int) -> int:
     return len(code)
 
 
-def _close(kinds: list[str]) -> dict[int, int]:
+def _close(kinds: list[str], places: list[int]) -> dict[int, int]:
     out, stack = {}, []
-    for i, k in enumerate(kinds):
+    for i in places:
+        k = kinds[i]
         if k == "(":
             stack.append(i)
         elif k == ")" and stack:
@@ -112,18 +113,22 @@ _BRACKET_KINDS = {"<": "TLT", ">": "TGT", ">>": "TGT2", ">>>": "TGT3"}
 def _decided(kinds: list[str]) -> list[int] | None:
     """Settle the kinds in place. Returns which to keep, repeated where a token counts more than once; None: all."""
     n = len(kinds)
-    close = _close(kinds)
+    places = [i for i, k in enumerate(kinds) if k in _DECIDE]
+    close = _close(kinds, places)
     opened: dict[int, int] | None = None
     changed = False
-    for i in [i for i, k in enumerate(kinds) if k in _DECIDE]:  # in order: later decisions see earlier ones
+    for i in places:  # in order: later decisions see earlier ones
         k = kinds[i]
-        after = kinds[i + 1] if i + 1 < n else ""
+        if k == ")":
+            continue
         before = kinds[i - 1] if i else ""
         if k == "(":
             j = close.get(i)
             if j is None or j + 1 >= n:
                 continue
             beyond = kinds[j + 1]
+            if before == "ID" and beyond != "->":
+                continue
             if beyond == "->" and before != "ID" and before != "case":
                 kinds[i] = "LLP"
                 continue
@@ -143,7 +148,9 @@ def _decided(kinds: list[str]) -> list[int] | None:
                 if inner[0] in ("ID", "@") and inner[-1] in ("ID", ">", ">>", ">>>", "]") and all(x in _IN_BRACKETS for x in inner):
                     if not any(a == b == "ID" for a, b in zip(inner, inner[1:])):
                         kinds[i] = "CLP"
-        elif k == "<":
+            continue
+        after = kinds[i + 1] if i + 1 < n else ""
+        if k == "<":
             end = _brackets(kinds, i) if before in _OPENERS else -1
             if end > 0:
                 for j in range(i, end + 1):

@@ -32,9 +32,9 @@ def time_penalty(seconds: Column) -> Column:
 
 
 def fitness(line: Column, branch: Column, method: Column, failure: Column, time: Column) -> Column:
-    """0.5 line + 0.4 branch + 0.1 method coverage (as fractions), plus the bonus, less the penalties, never negative."""
+    """0.5 line + 0.4 branch + 0.1 method coverage (as fractions), plus the bonus, less the penalties, never negative; halves go up."""
     base = 0.5 * line + 0.4 * branch + 0.1 * method
-    return F.greatest(F.round(base + bonus(base) - failure - time, 4), F.lit(0.0))
+    return F.greatest(F.round(base + bonus(base) - failure - time + 1e-9, 4), F.lit(0.0))
 
 
 def jaccard_distance(a: Column, b: Column) -> Column:

@@ -70,7 +70,7 @@ scored AS (
   SELECT * EXCLUDE (base), greatest(round(base
     + CASE WHEN base >= 0.95 THEN 0.3 WHEN base >= 0.9 THEN 0.2 WHEN base >= 0.8 THEN 0.15 WHEN base >= 0.7 THEN 0.1 WHEN base >= 0.6 THEN 0.05 ELSE 0.0 END::DOUBLE
     - CASE WHEN total_tests > 0 THEN least(0.05::DOUBLE, failures / total_tests * 0.05::DOUBLE) ELSE 0.0 END
-    - least(0.02::DOUBLE, time_seconds / 30.0::DOUBLE), 4), 0.0) AS fitness
+    - least(0.02::DOUBLE, time_seconds / 30.0::DOUBLE) + 1e-9::DOUBLE, 4), 0.0) AS fitness
   FROM weighed)"""
 
 

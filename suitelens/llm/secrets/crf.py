@@ -94,10 +94,16 @@ def name_features(which: str, name: str, s: str) -> list[int]:
     return out + [_id(f"{which}={of}"), _id(f"{which}={of}|{s}"), _id(f"{which}={of}|{s[:-1]}")]
 
 
+_CURLY = dict.fromkeys("“”„«»", '"') | dict.fromkeys("‘’‚", "'")
+_ESCAPED = {'"', "'", "\\"}
 _NAMING = set("=:,(>?&;")
 _IN_URL = re.compile(r"://[^\s/:@\"']*:([^\s\"'/]+)@")
 
 
+#: What the tokens leave out.
+_BLANK = " \t\n\r\f\v"
+
+
 class Line:
     """The tokens of one line (or of lines that go on), with what governs each: the names before it, and quotes."""
 
@@ -105,16 +111,24 @@ class Line:
 
     def __init__(self, text: str, field: str = ""):
         self.tokens, self.at, self.names, self.quoted = [], [], [], []
-        first, second, word, quote, said = field, "", field, "", ""
+        first, second, word, quote, said, escaped = field, "", field, "", "", False
         login = _IN_URL.search(text) if "://" in text else None
         low, high = login.span(1) if login else (0, 0)
         for m in TOKEN.finditer(text):
             t = m.group()
+            if t in _CURLY:
+                t = _CURLY[t]
             self.tokens.append(t)
             self.at.append((m.start(), m.end()))
             self.names.append((first, second) if not low <= m.start() < high else ("urlPassword", first))
             self.quoted.append(bool(quote))
-            if t in ('"', "'"):
+            if escaped:
+                escaped = False
+                if t in _ESCAPED:
+                    continue
+            if t == "\\":
+                escaped = True
+            elif t in ('"', "'"):
                 quote = "" if quote == t else quote or t
             elif t in _NAMING:
                 if word:
@@ -214,62 +228,109 @@ def train(lines: list[tuple[Line, list[int]]], epochs: int = 9, batch: int = 128
 
 
 class Labeller:
-    """Viterbi with remembered scores: what a feature group adds depends on few values that come again and again."""
+    """Viterbi with remembered scores: what a feature group adds depends on few values that come again and again.
+
+    Scores are those of begin and inside less that of outside, which leaves the best labelling the same.
+    """
 
-    def __init__(self, weights: np.ndarray, steps: np.ndarray, remember: int = 300_000):
+    def __init__(self, weights: np.ndarray, steps: np.ndarray, remember: int = 200_000):
         self.w, self.steps = weights.astype(float), steps.astype(float).tolist()
+        self.over = self.w[:, 1:] - self.w[:, :1]
         self.caches: list[dict] = [{}, {}, {}, {}]
-        self.shapes: dict[str, tuple[str, str]] = {}
+        self.parts: dict[tuple[str, str, str], tuple[float, float]] = {}
+        self.shapes: dict[str, tuple] = {}
+        self.lines: dict[tuple[str, str], list[tuple[int, int]]] = {}
         self.remember = remember
+        (oo, ob, _), (bo, bb, bi), (io, ib, ii), (so, sb, _) = self.steps
+        # A stretch of k tokens gains at most k times (its best score + this) over outside: if no token reaches that, none is labelled.
+        self.hopeless = -max(max(ob - oo, sb - so) + max(bo - oo, io - oo, 0), max(bb, bi, ib, ii) - oo)
 
-    def _sum(self, ids: list[int]) -> tuple[float, float, float]:
-        return tuple(self.w[ids].sum(0).tolist())
+    def _made(self, cache: dict, key, ids: list[int]) -> tuple[float, float]:
+        if len(cache) > self.remember:
+            cache.clear()
+        hit = cache[key] = tuple(self.over[ids].sum(0).tolist())
+        return hit
 
-    def _cached(self, which: int, key, make) -> tuple[float, float, float]:
-        cache = self.caches[which]
-        hit = cache.get(key)
-        if hit is None:
-            if len(cache) > self.remember:
-                cache.clear()
-            hit = cache[key] = self._sum(make(*key))
+    def _seen(self, token: str) -> tuple:
+        """(shape, key, scores outside of quotes, scores in quotes)"""
+        if len(self.shapes) > self.remember:
+            self.shapes.clear()
+        s = shape(token)
+        key = token.lower() if len(token) < 9 and not any(c.isdigit() for c in token) else s
+        b, i = self.over[own_features(token, False)].sum(0).tolist()
+        k = ("q", s, "")
+        x, y = self.parts.get(k) or self._made(self.parts, k, [_id(f"sq{s}True")])
+        k = ("q", "", s)
+        v, w = self.parts.get(k) or self._made(self.parts, k, [_id(f"sq{s}False")])
+        hit = self.shapes[token] = (s, key, (b, i), (b + x - v, i + y - w))
         return hit
 
-    def _seen(self, token: str) -> tuple[str, str]:
-        hit = self.shapes.get(token)
-        if hit is None:
-            if len(self.shapes) > self.remember:
-                self.shapes.clear()
-            s = shape(token)
-            hit = self.shapes[token] = (s, token.lower() if len(token) < 9 and not any(c.isdigit() for c in token) else s)
+    def _named(self, cache: dict, which: str, name: str, s: str) -> tuple[float, float]:
+        """The sums of ``name_features``, from those of the parts of the name."""
+        if len(cache) > self.remember:
+            cache.clear()
+        parts = name_parts(name) if name else ["-"]
+        of = "".join(sorted({_OF[p] for p in parts if p in _OF}))
+        b = i = 0.0
+        for p in parts:
+            k = (which, p, s)
+            x, y = self.parts.get(k) or self._made(self.parts, k, [_id(f"{which}{p}|{s}"), _id(f"{which}{p}")])
+            b, i = b + x, i + y
+        k = (which + "=", of, s)
+        x, y = self.parts.get(k) or self._made(self.parts, k, [_id(f"{which}={of}"), _id(f"{which}={of}|{s}"), _id(f"{which}={of}|{s[:-1]}")])
+        hit = cache[name, s] = (b + x, i + y)
         return hit
 
+    def remembered(self, text: str, field: str = "") -> list[tuple[int, int]]:
+        """``spans``, of which those of short lines are remembered without what is around them."""
+        if len(text) > 300:
+            return self.spans(text, field)
+        bare = text.lstrip(_BLANK)
+        skipped = len(text) - len(bare)
+        bare = bare.rstrip(_BLANK)
+        hit = self.lines.get((bare, field))
+        if hit is None:
+            if len(self.lines) > self.remember:
+                self.lines.clear()
+            hit = self.lines[bare, field] = self.spans(bare, field)
+        return [(a + skipped, b + skipped) for a, b in hit] if hit else hit
+
     def spans(self, text: str, field: str = "") -> list[tuple[int, int]]:
         """The stretches of ``text`` to redact."""
         line = Line(text, field)
-        n = len(line.tokens)
-        if not n:
+        if not line.tokens:
             return []
-        seen = [self._seen(t) for t in line.tokens]
-        keys = ["^", "^", *(k for _, k in seen), "^", "^"]
+        shapes, (before, after, first, second) = self.shapes, self.caches
+        seen = [shapes.get(t) or self._seen(t) for t in line.tokens]
+        keys = ["^", "^", *[x[1] for x in seen], "^", "^"]
+        scores, most = [], self.hopeless
+        for t, (x, names, quoted) in enumerate(zip(seen, line.names, line.quoted)):
+            s = x[0]
+            own = x[3] if quoted else x[2]
+            k = (keys[t + 1], keys[t], s)
+            l = before.get(k) or self._made(before, k, context_features("<", *k))
+            k = (keys[t + 3], keys[t + 4], s)
+            r = after.get(k) or self._made(after, k, context_features(">", *k))
+            f = first.get((names[0], s)) or self._named(first, "n", names[0], s)
+            g = second.get((names[1], s)) or self._named(second, "m", names[1], s)
+            b, i = own[0] + l[0] + r[0] + f[0] + g[0], own[1] + l[1] + r[1] + f[1] + g[1]
+            scores.append((b, i))
+            if b > most:
+                most = b
+            if i > most:
+                most = i
+        return self._best(line, scores) if most > self.hopeless else []
+
+    def _best(self, line: Line, scores: list[tuple[float, float]]) -> list[tuple[int, int]]:
         (oo, ob, _), (bo, bb, bi), (io, ib, ii), (so, sb, _) = self.steps
         back = []
-        o = b = i = 0.0
-        for t in range(n):
-            s = seen[t][0]
-            e = self._cached(0, (line.tokens[t], line.quoted[t]), own_features)
-            l = self._cached(1, ("<", keys[t + 1], keys[t], s), context_features)
-            r = self._cached(1, (">", keys[t + 3], keys[t + 4], s), context_features)
-            f = self._cached(2, ("n", line.names[t][0], s), name_features)
-            g = self._cached(3, ("m", line.names[t][1], s), name_features)
-            eo, eb, ei = e[0] + l[0] + r[0] + f[0] + g[0], e[1] + l[1] + r[1] + f[1] + g[1], e[2] + l[2] + r[2] + f[2] + g[2]
-            if not t:
-                o, b, i = so + eo, sb + eb, _NEVER
-                continue
+        o, b, i = so, sb + scores[0][0], _NEVER
+        for eb, ei in scores[1:]:
             to_o = max((o + oo, 0), (b + bo, 1), (i + io, 2))
             to_b = max((o + ob, 0), (b + bb, 1), (i + ib, 2))
             to_i = max((b + bi, 1), (i + ii, 2))
             back.append((to_o[1], to_b[1], to_i[1]))
-            o, b, i = to_o[0] + eo, to_b[0] + eb, to_i[0] + ei
+            o, b, i = to_o[0], to_b[0] + eb, to_i[0] + ei
         label = max((o, 0), (b, 1), (i, 2))[1]
         labels = [label]
         for step in reversed(back):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 import string
 
 _ALNUM = string.ascii_letters + string.digits
@@ -56,8 +57,8 @@ class Maker:
             return f"{self.some(string.ascii_lowercase, 2, 4)}.{self.some(_ALNUM, 10, 14)}.{self.some(_ALNUM, 20, 28)}"
         if lead == "AKIA":
             return lead + self.some(string.ascii_uppercase + string.digits, 16, 16)
-        letters = r.choice([_ALNUM, _ALNUM, string.ascii_lowercase + string.digits, "0123456789abcdef"])
-        return lead + self.some(letters, 20, 40)
+        letters = r.choice([_ALNUM, _ALNUM, _ALNUM, string.ascii_letters, string.ascii_lowercase + string.digits, "0123456789abcdef"])
+        return lead + self.some(letters, 16, 40)
 
     def opaque(self) -> str:
         r = self.r
@@ -82,7 +83,7 @@ class Maker:
             lambda: f"{w()}{w()}{r.randint(100, 9999)}",
             lambda: f"{w()}{r.randint(100, 99999)}{r.choice('!?#_$')}",
             lambda: self.some(_ALNUM + "!#%&+_?", 9, 18) + str(r.randint(0, 9)),
-            lambda: self.some(_ALNUM, 9, 14) + str(r.randint(0, 99)),
+            lambda: self.some(_ALNUM, 9, 14) + str(r.randint(0, 99)), lambda: self.some(string.ascii_letters, 7, 16),
         ])()
 
     def secret(self) -> str:
@@ -141,6 +142,8 @@ class Maker:
             f"        System.setProperty(\"{name}\", \"{value}\");", f"--{name}={value}", f"  {name} = os.environ.get(\"X\", {q}{value}{q})", f"var {name} = \"{value}\";",
             f"    private static final String {name} =\n            \"{value}\";", f"{{\"{name}\": \"{value}\", \"user\": \"moth\"}}", f"const {name} = '{value}';",
         ])
+        if r.random() < 0.02:
+            line = re.sub(r"\"(.*?)\"", r"“\1”", line)
         k = r.random()
         if k < 0.06:
             line = f"    // {line.strip()}"
@@ -190,7 +193,7 @@ class Maker:
                 f"{n} = '[[{a}' + '{b}]]'", f"    static final String {n} = String.join(\"\", \"[[{a}\", \"{b}]]\");", f"    String {n} = new StringBuilder(\"[[{a}\").append(\"{b}]]\").toString();",
                 f"{n} = ('[[{a}'\n    '{b}]]')",
             ])
-        if k < 0.93:
+        if k < 0.92:
             kind = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "])
             body = base64.b64encode(bytes(r.randrange(256) for _ in range(48))).decode()
             if r.random() < 0.4:
@@ -199,9 +202,11 @@ class Maker:
                 f"[[-----BEGIN {kind}PRIVATE KEY-----]]", f"    static final String PEM = \"[[-----BEGIN {kind}PRIVATE KEY-----\\n\" + \"{body}\\n\"]]",
                 f"  key: \"[[-----BEGIN {kind}PRIVATE KEY-----\\n{body}]]\"", f"    \"[[-----BEGIN {kind}PRIVATE KEY-----\\n\"]]", f"PRIVATE_KEY=\"[[-----BEGIN {kind}PRIVATE KEY-----]]",
             ])
-        if k < 0.945:
-            return f"// {r.choice(['use this account for local runs', 'staging login is', 'test account', 'login', 'ask for'])}: {user} / [[{self.password()}]]"
-        if k < 0.965:
+        if k < 0.96:
+            note = r.choice(["use this account for local runs", "staging login is", "test account", "login", "ask for", "demo user", "Testkonto", "Anmeldung", "cuenta de prueba", "compte de test", "sign in as"])
+            user = r.choice([user, f"{r.choice(_WORDS)}_{r.choice(['dev', 'test', 'ro'])}"])
+            return f"{r.choice(['//', '//', '#', '     *'])} {note}{r.choice([':', ':', ''])} {user} / [[{self.password()}]]"
+        if k < 0.973:
             if r.random() < 0.5:
                 return f"    static final String {self.name(_SECRET_NAMES)} = decode(\"[[{self.encoded()}]]\");"
             return f"    String {self.name(_SECRET_NAMES)} = new String(Base64.getDecoder().decode(\"[[{self.encoded()}]]\"));"
@@ -222,6 +227,24 @@ class Maker:
             lambda: f"https://x.invalid/v1?api_key={mark(self.secret())}", lambda: f'{{"key": "{mark(self.secret())}", "user": "kite"}}', lambda: mark(self.password()),
         ])()
 
+    def plain(self) -> str:
+        """A line of code or text in which nothing is given a value that could be a credential."""
+        r = self.r
+        w, v, x, y, n = r.choice(_WORDS), r.choice(_WORDS).title(), r.choice("abcijkmnpq"), r.choice("cdestuvwxy"), r.randint(0, 40)
+        of, sign = r.choice(["Token", "Key", "Secret", "Password", "Name", "Size", "Parser"]), r.choice(["\\n", "\\t", "\\\\", "\\'", ";", "#", "/", "-", "[", ")", "x", "0"])
+        return r.choice([
+            f"char {w} = '{sign}', {y} = '{r.choice('!?.,:@|+*')}';", f"    if (c == '{sign}' || c == '\\'') {{", f"        case '{sign}': return '{r.choice('abXY_~^')}';", f"    static final char SEPARATOR = '{sign}';",
+            f"while ({x} < {y} && {w}) {{ {v.lower()}(); }}", f"        for (int {x} = 0; {x} < {n} && !{w}; {x}++) {{", f"if ({x} > {n} || {y} <= {x} && {w}.ready()) return;", f"    return {x} != null && {x}.{w}{of}() == {y};",
+            f"        boolean {w}{n} = {w}.is{of}() ? false : {x} > {n};", f"    String {w} = {v.lower()}.next{of}() ? {x} + \"{y}\" : \"{w}\";", f"        Object {x} = {w}.get{of}() ? {n}.5f + \"{y}\" : \"{x};", f"        double {w}{n} = {w}.peek{of}() * {n}.25 - {x};",
+            f"    public void {w}{v}{r.choice(['Stops', 'AtEnd', 'Again', 'WithNull'])}{r.randint(0, 30)}({r.choice(['', 'long id', 'String s'])}) {{", f"    void {w}{v}{r.randint(0, 99)}() throws IOException {{", f"private {v} {w}{v}{n}(int[] {x}) {{",
+            f"        {w}.{v.lower()}{of}({x}, new {v}({n}), List.of(), Set.of({n}));", f"        assertTrue({w}.has{of}(new {v}({n}), Optional.empty()));", f"    {w}{v}{n}();", f"        return new {v}{of}({x}, {n});", f"    }} catch ({v}Exception {x}) {{",
+            f"  <note>a &gt;&gt;&gt; b &amp;&amp; {w} &lt; {n}</note>", f"  <item label=\"{w} &amp;&amp;&amp; {v}\"/>", f"  <{w} text=\"&gt;&gt;&gt;&gt;&gt; {v}\"/>", f"  <{w}>{v} {n}</{w}>", f"  - {w}: {v}", f"# {v} and {w} are read in {n} steps", f"// the {w} {of.lower()} is checked by the {v} rule",
+            f"     * @param {w}{of} the {of.lower()} of the {v}", f"    @{v}({w} = {n})", f"public interface {v}{of} extends Comparable<{v}> {{", f"def {w}_{v.lower()}{n}(self, {x}, {y}):", f"    return {x}[{n}] + {y}['{w}']", f"    for {x}, {y} in {w}.items():", f"}} else if ({w} instanceof {v}{of}) {{", "});", "}", "*/",
+            f"\"{w}\": [{n}, null, true],", f"        verify({w}, never()).{v.lower()}{of}(any());", f"        when({w}.find{of}(anyInt())).thenReturn(\"{v.lower()}\");", f"        logger.info(\"no {of.lower()} for {{}} in {{}}\", {w}, {x});", f"Pattern {x} = Pattern.compile(\"[^{w[:3]}]+\\\\s*{y}?\");",
+            f"    throw new IllegalStateException(\"{of.lower()} of {w} is missing\");", f"        {w}.set{of}(null);", f"        String {of.lower()} = {w}.{of.lower()}();", f"import {w}.{v.lower()}.{v}{of};",
+            f"{'#' * r.randint(1, 5)} {v}", f"{'#' * r.randint(1, 5)} {v} {of.lower()}s", f"{n}. {v} {w}s", f"**{v}**: {w} {v.lower()}", f"{v} {w} {v.lower()}.", f"{v}", f"        {v}{of} {w} = new {v}{of}({x});", f"    private {v}Of{of} {w};", f"// since commit {self.hex(40)}", f"     * Taken over from {self.hex(40)}.",
+        ])
+
     def negative(self) -> str:
         r = self.r
         k = r.random()
@@ -258,6 +281,8 @@ class Maker:
                 f"String {n} = vault.read(\"kv/{w}/{w}\");", f"    public void set{n.title()}(String {n}) {{ this.{n} = {n}; }}", f"if (!{n}.equals(other.{n})) return false;",
                 f"        String {n} = readSecret(\"{w}-{r.randint(10, 99)}\");", f"api.key.file=/etc/keys/{w}.pem", f"  secretName: {w}-credentials-{r.randint(1, 9)}", f"    fail(\"bad token: {w}{r.randint(100, 999)}\");",
             ])
+        if k < 0.88:
+            return self.plain()
         w, v = r.choice(_WORDS), r.choice(_WORDS).title()
         return r.choice([
             f"        assertEquals(\"{w}-{r.randint(1, 999)}\", item{r.randint(1, 99)});", f"     * Checks {w}{v}{r.randint(0, 9)} {{@link Keyed{v}Sorter}} with a {w}; see ticket {r.randint(100, 9999)}.",

@@ -15,14 +15,6 @@ from suitelens.llm.secrets.crf import Labeller, labelled, train
 from suitelens.llm.secrets.examples import examples
 from suitelens.operators.spread import spread
 
-#: Where the field may begin a credential: a run of 8 or more characters with a digit that isn't called and isn't a
-#: number, a name with up to two digits or a word with up to three; a private key's first line; a list of bytes or
-#: characters; 16 and more letters in quotes. Lines without any are outside by construction and aren't labelled.
-_RUN = re.compile(r"[\w$!#%&*+./=?@^~-]{8,}")
-_DIGIT = re.compile(r"\d")
-_PLAIN = re.compile(r"[a-z]+-?\d{1,3}|[\d._]+[lLdDfF]?|[a-z]+(?:[A-Z][a-zà-ÿ]*)*\d{0,2}")
-_LETTERS = re.compile(r"[A-Za-z+/_-]{16,}")
-_LISTED = re.compile(r"\(byte\) 0x[0-9a-fA-F]{2},|'.',\s*'.',\s*'.'|PRIVATE KEY")
 _KEY_BEGINS = re.compile(r"BEGIN [A-Z ]*PRIVATE KEY")
 _KEY_ENDS = re.compile(r"END [A-Z ]*PRIVATE KEY-*")
 _GOES_ON = re.compile(r"\s*(?:\+\s*)?[\"'][^\"'\n]*[\"'][\s;,)+]*(?:\n|$)|\s*\+")
@@ -37,36 +29,23 @@ def model(seed: int = 11, n: int = 6000) -> tuple[np.ndarray, np.ndarray]:
 _INDENT = (" ", "\t", '"', "'", "+")
 
 
-def possible(text: str) -> list[int]:
-    """Places, in order, of what may begin a credential."""
-    out = [m.start() for m in _LISTED.finditer(text)] if "PRIVATE KEY" in text or "','" in text or "', '" in text or "(byte) 0x" in text else []
-    for m in _RUN.finditer(text):
-        run, end = m.group(), m.end()
-        if _DIGIT.search(run):
-            if text[end : end + 1] != "(" and not _PLAIN.fullmatch(run):
-                out.append(m.start())
-        elif end - m.start() >= 16 and text[m.start() - 1 : m.start()] in ("'", '"', "=", ":") and _LETTERS.match(run):
-            out.append(m.start())
-    out.sort()
-    return out
+@lru_cache(maxsize=2)
+def _kept(weights: bytes, steps: bytes) -> Labeller:
+    """One labeller a Python worker, whose remembered scores serve all of its tasks."""
+    return Labeller(np.frombuffer(weights, np.float32).reshape(-1, 3), np.frombuffer(steps, np.float32).reshape(-1, 3))
 
 
 def credential_spans(text: str, labeller: Labeller, field: str = "") -> list[tuple[int, int]]:
-    """The stretches of ``text`` that are usable credentials. A string that goes on in the next lines is one."""
+    """The stretches of ``text`` that are usable credentials; every line is labelled. A string that goes on in the next lines is one."""
     out: list[tuple[int, int]] = []
     done = 0
-    for place in possible(text):
-        if place < done:
-            continue
-        begin = max(text.rfind("\n", 0, place) + 1, done)
-        end = _line_end(text, place)
-        # A string in pieces goes with the lines before and after that it is put together from.
-        while begin > done and text[begin : begin + 1] in _INDENT and _GOES_ON.match(text, begin) and place - begin < 20_000:
-            begin = max(text.rfind("\n", 0, begin - 1) + 1, done)
+    while done < len(text):
+        begin, end = done, _line_end(text, done)
+        # A string in pieces goes with the lines after that it is put together from.
         while end < len(text) and text[end + 1 : end + 2] in _INDENT and _GOES_ON.match(text, end + 1) and end - begin < 20_000:
             end = _line_end(text, end + 1)
         done = end + 1
-        for a, b in labeller.spans(text[begin:end], field):
+        for a, b in labeller.remembered(text[begin:end], field):
             a, b = begin + a, begin + b
             if out and a < out[-1][1]:
                 continue  # inside of a key's block
@@ -102,7 +81,7 @@ def find_credentials(
     texts have no lines and stay null, empty ones stay empty. Every text is read whole. Rows that repeat an id are
     searched each by itself.
     """
-    weights, steps = model(seed)
+    weights, steps = (x.tobytes() for x in model(seed))
     known = spread(df.select(id_column, text))
     id_type = df.schema[id_column].dataType
     if redact:
@@ -112,7 +91,7 @@ def find_credentials(
     names = schema.names
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(weights, steps)
+        labeller = _kept(weights, steps)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows, lines, clean, counts = [], [], [], []

@@ -87,3 +87,19 @@ def test_operator_cases(spark):
     clean = {r.file_id: r for r in find_credentials(df, "file_id", "code", redact=True).collect()}
     assert clean[1].code is None and clean[2].code == "" and clean[3].code == "\npassword = 'REDACTED'\n" and clean[5].credentials == 0
     assert find_credentials(df.limit(0), "file_id", "code").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        ("PASSWD = 'rBtwSiqAod8'", "rBtwSiqAod8"), ('String authToken = "mkv_live_MvZQrBsZYkViVDf";', "mkv_live_MvZQrBsZYkViVDf"), ("    authToken = “mkv_live_MvZQrBsZYkViVDf”", "mkv_live_MvZQrBsZYkViVDf"),
+        ('password = "granite42"', "granite42"), ("DB_PASS=Zk3!w9", "Zk3!w9"), ('password: "qWmTzRbKp"', "qWmTzRbKp"),
+    ],
+)
+def test_no_line_is_left_out_for_its_form(labeller, text, value):
+    assert [text[a:b] for a, b in credential_spans(text, labeller)] == [value]
+
+
+def test_code_without_values_has_none(labeller):
+    for text in ("if (a < b && c) { run(); }", "char open = '{', quote = '\\'', slash = '\\\\';", "    public void stopsTwice22(int n) {", "### Notes", "// since commit 04a9a8b2ad805b667c49abc2aa3c2446c4758c32"):
+        assert credential_spans(text, labeller) == []

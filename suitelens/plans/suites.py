@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from suitelens.functions import names, rules
 from suitelens.plans.base import NEWEST_SQL, newest_reports, table
 from suitelens.plans.references import test_class_name, test_file_name
+from suitelens.sources.java_source import java_facts
 
 SQL = {}
 
@@ -196,9 +197,9 @@ SELECT doc_id, md5(short) AS short_md5, length(short) AS n FROM s"""
 
 
 def covered_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Calls in a file to methods that reports of its class cover and whose branches are covered by more than half.
+    """Newest reports of a class that cover a method named like ToString or equals, and have more than half of the branches.
 
-    A method counts as covered if its name is part of any covered one, as the names are compared by containment.
+    This is the rule on paths for two fixed names; ``covered_calls`` has it for the methods of files.
     """
     r = newest_reports(spark, sf, "target_class", "covered_methods", "metrics.branches_covered", "metrics.branches_total").filter("target_class IS NOT NULL")
     enough = (F.col("branches_total") == 0) | (F.try_divide(F.col("branches_covered"), F.col("branches_total")) > 0.5)
@@ -210,4 +211,31 @@ SQL["covered_paths"] = f"""WITH {NEWEST_SQL}, x AS (SELECT target_class, metrics
   coalesce(len(list_filter(covered_methods, lambda m: contains(m, 'ToString') OR contains(m, 'equals'))) > 0, false) AS hit FROM newest WHERE target_class IS NOT NULL)
 SELECT target_class, count(*) FILTER (WHERE enough AND hit) AS covered, count(*) FILTER (WHERE NOT enough) AS too_few_branches FROM x GROUP BY 1"""
 
-QUERIES = {name: globals()[name] for name in SQL}
+def path_verdicts(paths: DataFrame, reports: DataFrame, on: list[str]) -> DataFrame:
+    """``paths`` (with method, is_exit) of the reports of their class, and whether each is covered.
+
+    The method's name must be part of any covered method and, but for exits, more than half of the branches be covered,
+    if there are any. ``method`` is a name or <class: result name(parameters)>; one without a name is not covered.
+    """
+    name = F.when(F.contains("method", F.lit("<")) & F.contains("method", F.lit(":")), F.regexp_extract("method", r"^[^:]*:\s*[^ :]+ ([^ (:]*)", 1)).when(F.rlike("method", F.lit(r"^[\w$]+$")), F.col("method"))
+    joined = paths.withColumn("_name", F.coalesce(name, F.lit(""))).join(reports, on)
+    hit = (F.col("_name") != "") & F.coalesce(F.exists("covered_methods", lambda m: F.contains(m, F.col("_name"))), F.lit(False))
+    enough = (F.coalesce("branches_total", F.lit(0)) == 0) | F.coalesce(F.try_divide("branches_covered", "branches_total") > 0.5, F.lit(False))
+    return joined.withColumn("covered", hit & (F.col("is_exit") | enough)).drop("_name", "covered_methods", "branches_covered", "branches_total")
+
+
+def covered_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of files that the newest reports of their class cover or don't: the calls, and the exit of each method.
+
+    A file belongs to the reports of its project whose test or target class it is named after.
+    """
+    f = _java(spark, sf).select("file_id", "project", F.regexp_extract("path", r"([^/]+)\.java$", 1).alias("class_name"), "code")
+    facts = java_facts(f, "file_id", "code").filter("kind IN ('call', 'method')").groupBy("file_id", F.col("name").alias("method"), (F.col("kind") == "method").alias("is_exit")).agg(F.count(F.lit(1)).alias("n"))
+    paths = facts.join(f.drop("code"), "file_id")
+    r = newest_reports(spark, sf, "project", "test_class", "target_class", "covered_methods", "metrics.branches_covered", "metrics.branches_total")
+    of = r.withColumn("class_name", F.explode(F.array_distinct(F.array("test_class", "target_class")))).drop("test_class", "target_class")
+    v = path_verdicts(paths, of, ["project", "class_name"])
+    return v.groupBy("file_id", "report_id").agg(F.sum(F.when(F.col("covered"), F.col("n")).otherwise(0)).alias("covered"), F.sum(F.when(F.col("covered"), 0).otherwise(F.col("n"))).alias("uncovered"))
+
+
+QUERIES = {name: globals()[name] for name in [*SQL, "covered_calls"]}

@@ -166,19 +166,23 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 HARMFUL_FROM = 0.5
 
 
-def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+def _harm(spark: SparkSession, sf: str, evidence: bool) -> DataFrame:
     documents = spark.read.parquet(f"{sf}/documents.parquet")
-    return harm_scores(documents, "doc_id", "text", ["source"])
+    return harm_scores(documents, "doc_id", "text", ["source"], evidence)
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _harm(spark, sf, True)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_scores(spark, sf).filter(F.col("score") >= HARMFUL_FROM).select("doc_id")
+    return _harm(spark, sf, False).filter(F.col("score") >= HARMFUL_FROM).select("doc_id")
 
 
 def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Per source, in one spelling, how many of its documents are harmful; documents without source are one group."""
     harmful = F.count_if(F.col("score") >= HARMFUL_FROM)
-    by = p8_scores(spark, sf).groupBy(source_name(F.col("source")).alias("source"))
+    by = _harm(spark, sf, False).groupBy(source_name(F.col("source")).alias("source"))
     return by.agg(F.count(F.lit(1)).alias("documents"), harmful.alias("harmful"), F.round(harmful / F.count(F.lit(1)), 4).alias("rate"))
 
 

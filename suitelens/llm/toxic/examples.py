@@ -1,6 +1,8 @@
-"""Labelled sentences. {a|b} are alternatives; X stands for any name of code, # for any number.
+"""Labelled sentences. {a|b} are alternatives; {WORD} stands for a list below, in the language of the template.
 
-All are invented for this purpose. The harmful ones have to be said here to be recognised elsewhere.
+All are written for this purpose from general knowledge of how people abuse, threaten and harass each other, and of what
+only sounds like it. No sentence, name or turn of phrase is taken from the test tables. Each template has its kind, so
+that what is recognised of wordings left out can be told for each.
 """
 
 from __future__ import annotations
@@ -8,116 +10,228 @@ from __future__ import annotations
 import random
 import re
 
-_INSULT = "idiot|moron|bastard|asshole|cretin|imbecile|scumbag|parasite|jackass|halfwit|dipshit|bitch|loser|dumbass|piece of shit|retard|clown|pig|rat|whore|fool|degenerate"
-_FOUL = "filthy|worthless|useless|pathetic|brainless|spineless|disgusting|fucking|stupid|complete|dumb|rotten"
-_GROUP = "women|immigrants|foreigners|old people|the disabled|country folk|Veltrani people|believers of the Ashen faith|refugees|gays|people from the south|muslims|jews|black people|girls"
-_END = "|, period|, look at the chart team|, and always were|!"
-_HURT = "break your fingers|cut your throat|smash your face|burn your house down|make you bleed|drag you out by the hair|put you in a hospital|beat you up|break your neck|kill you|stab you|hunt you down"
-_WHEN = "if X fails again|for reverting X|after the release|while your kids watch|one by one if you revert X again|, count on it|next time|when you leave the office"
-_DIE = "drop dead|choke on your lunch|jump off the roof|get cancer|hang yourself|rot in hell|die in a fire|get hit by a bus|kill yourself"
-_BODY = "naked body|breasts|tits|ass|legs|nudes|underwear"
-_DE_INSULT = "Idiot|Trottel|Arschloch|Drecksack|Penner|Vollpfosten|Schwachkopf|Hurensohn|Missgeburt|Versager|Spast|Wichser"
-_DE_GROUP = "Ausländer|Frauen|Veltraner|die Alten|Behinderte|Flüchtlinge|Schwule|Dorfleute"
-_ES_INSULT = "imbécil|idiota|gilipollas|inútil|payaso|cabrón|hijo de puta|subnormal|capullo"
-_ES_GROUP = "los extranjeros|las mujeres|los veltranos|los viejos|los inmigrantes|los discapacitados|los gitanos"
-_FR_INSULT = "connard|abruti|crétin|imbécile|salaud|ordure|débile|enculé|raclure"
-_FR_GROUP = "les étrangers|les femmes|les Veltrains|les vieux|les immigrés|les handicapés"
-_ZH_INSULT = "蠢货|白痴|脑残|废物|垃圾人|混蛋|傻逼|贱人|畜生"
-_ZH_GROUP = "外地人|女人|老人|维尔特拉人|残疾人|外国人|移民|乡下人"
+LISTS = {
+    "en": {
+        "INSULT": "idiot|moron|bastard|asshole|cretin|imbecile|scumbag|jackass|dimwit|bitch|loser|dumbass|retard|clown|whore|fool|degenerate|twat|wanker|prick|dickhead|creep|lowlife|coward|halfwit|pig|bonehead",
+        "FOUL": "filthy|worthless|useless|pathetic|brainless|disgusting|stupid|dumb|rotten|lazy|ugly|vile|incompetent|ignorant|clueless|fucking|miserable|hopeless|spineless|smelly",
+        "GROUP": "women|immigrants|foreigners|disabled people|old people|refugees|gays|muslims|jews|christians|blacks|asians|gypsies|migrants|villagers|believers|northerners|girls|homeless people|people of that faith|people from that tribe|those people",
+        "VERMIN": "vermin|animals|a plague|parasites|subhuman|filth|rats|cockroaches|a disease|pigs|savages|criminals|maggots|trash|scum|monkeys|pests|dirt",
+        "HURT": "break|smash|crush|snap|cut off|slash|burn|beat in|bash in|shatter|rip out",
+        "LIMB": "fingers|teeth|face|neck|skull|legs|knees|jaw|ribs|wrists|nose|throat|arms|eyes",
+        "KILL": "kill you|murder you|stab you|shoot you|strangle you|beat you to death|burn you alive|cut your throat|choke you|poison you|drown you|tear you apart|hunt you down|slit your throat|run you over|put you in a grave|put you in a hospital|beat you up|hurt you and your family",
+        "DIE": "die|kill yourself|hang yourself|jump off a bridge|rot in hell|die of cancer|get run over|die in your sleep|burn in hell|suffocate|bleed to death|end up in a coffin|drown|starve|drop dead|choke",
+        "BODY": "breasts|tits|ass|naked body|boobs|thighs|panties|bra|underwear|nudes|butt|bare legs|cleavage",
+        "ART": "patch|change|commit|fix|rule|test|mock|parser|review|idea|proposal|script|hack|loop|setting|merge",
+        "DOES": "kills|breaks|replaces|hits|covers|slows down|ignores|beats|rewrites|needs|drops|burns|cuts|shoots down|hides|tears down|exposes|locks|rejects|swallows|depends on|should replace|may hurt|must not touch",
+        "OBJ": "the dead branch|the orphan process|the timeout|the null check|the child node|the zombie thread|the stale lock|the old parser|the master|a naked reference|the race in the queue|the body of the loop|the slow path|the error handler|the head of the list|every second test|the legacy code|dead references|the fork|the parent class|dead code|all parents of the node|both children|the mother board|the dead letters|a hung thread|the blood test table",
+        "DO": "moaned|gasped|groaned|whimpered|undressed|climaxed|trembled naked",
+    },
+    "de": {
+        "INSULT": "Idiot|Trottel|Arschloch|Drecksack|Penner|Schwachkopf|Hurensohn|Versager|Spast|Wichser|Depp|Vollidiot|Dummkopf|Mistkerl|Feigling|Blödmann|Hohlkopf|Taugenichts|Missgeburt|Schlampe",
+        "FOUL": "dummer|blöder|widerlicher|dreckiger|wertloser|fauler|unfähiger|erbärmlicher|hässlicher|stinkender|nutzloser|feiger",
+        "GROUP": "Ausländer|Frauen|Behinderte|Flüchtlinge|Schwule|Juden|Muslime|Rentner|Zigeuner|Migranten|Einwanderer|Gläubige|Dorfleute|Obdachlose|die Alten|Mädchen",
+        "VERMIN": "Ungeziefer|Abschaum|Parasiten|Ratten|Tiere|Schmarotzer|Verbrecher|Dreck|Müll|Untermenschen|eine Seuche|Gesindel|Vieh",
+        "ART": "Patch|Vorschlag|Test|Code|Zweig",
+        "DOES": "bricht|tötet|ersetzt|ignoriert|schlägt|bremst|verdeckt|zerstört|braucht|löscht|überholt",
+        "OBJ": "den toten Zweig|die Klasse|den Kindprozess|die alte Prüfung|den Zeiger|jede zweite Zeile|die Sperre|den Übersetzer|den Cache|veralteten Code|alte Fehlerfälle",
+        "LIMB": "Finger|Zähne|Knochen|Nase|Beine|Knie|Rippen|Arme|Kiefer",
+        "DIE": "verreckst|stirbst|krepierst|an Krebs stirbst|in der Hölle landest|tot umfällst|im Grab liegst",
+        "BODY": "Brüste|Titten|Arsch|Busen|Schenkel|Unterwäsche|Höschen|Hintern",
+    },
+    "es": {
+        "INSULT": "imbécil|idiota|gilipollas|inútil|payaso|cabrón|hijo de puta|subnormal|capullo|estúpido|pendejo|fracasado|cretino|cobarde|perdedor|desgraciado|zorra",
+        "FOUL": "asqueroso|sucio|tonto|patético|feo|vago|repugnante|maldito|ignorante|estúpido",
+        "GROUP": "los extranjeros|las mujeres|los viejos|los inmigrantes|los discapacitados|los gitanos|los musulmanes|los judíos|los negros|los homosexuales|los refugiados|los campesinos|los creyentes|los pobres",
+        "VERMIN": "una plaga|ratas|basura|escoria|parásitos|animales|cucarachas|cerdos|delincuentes|bestias|alimañas|una peste",
+        "ART": "propuesta|rama|idea|prueba|regla",
+        "DOES": "rompe|mata|reemplaza|ignora|golpea|frena|cubre|corta|necesita|borra",
+        "OBJ": "la rama muerta|el proceso hijo|la clase|el puntero|el código viejo|la caché|el bloqueo|la prueba anterior|cada segunda línea|los errores viejos",
+        "LIMB": "los dedos|la cara|los dientes|las piernas|los huesos|el cuello|la nariz|las rodillas|el cráneo|las costillas",
+        "DIE": "te mueras|te pudras|te ahogues|te maten|acabes en la tumba|revientes|te dé un cáncer|ardas en el infierno",
+        "BODY": "tetas|pechos|culo|bragas|muslos|fotos desnuda|escote|nalgas",
+    },
+    "fr": {
+        "INSULT": "connard|abruti|crétin|imbécile|salaud|ordure|débile|enculé|raclure|bouffon|bâtard|minable|lâche|enfoiré|attardé|salope|tocard",
+        "FOUL": "sale|stupide|pauvre|dégoûtant|répugnant|pathétique|puant|ignoble|moche|gros",
+        "GROUP": "les étrangers|les femmes|les vieux|les immigrés|les handicapés|les musulmans|les juifs|les noirs|les gitans|les réfugiés|les homosexuels|les paysans|les croyants|les pauvres",
+        "VERMIN": "de la vermine|des parasites|des rats|des animaux|de la racaille|des cafards|des déchets|des porcs|des nuisibles|des criminels|la peste|des singes",
+        "ART": "proposition|branche|règle|idée|classe",
+        "DOES": "casse|tue|remplace|ignore|frappe|ralentit|couvre|coupe|efface|demande",
+        "OBJ": "la branche morte|le processus fils|la classe|le pointeur|le vieux code|le cache|le verrou|l'ancien essai|une ligne sur deux|de vieilles erreurs",
+        "LIMB": "les doigts|la figure|les dents|les jambes|les genoux|le cou|le nez|le crâne|les côtes|la mâchoire",
+        "DIE": "tu crèves|tu meures|tu pourrisses en enfer|un cancer t'emporte|tu finisses dans une tombe|tu te noies",
+        "BODY": "seins|fesses|cuisses|culotte|photos nue|décolleté|cul",
+    },
+    "zh": {
+        "INSULT": "蠢货|白痴|脑残|废物|混蛋|傻逼|贱人|畜生|笨蛋|王八蛋|人渣|弱智|窝囊废|饭桶|傻子",
+        "GROUP": "外地人|女人|老人|残疾人|外国人|移民|乡下人|穷人|难民|同性恋|黑人|教徒|农民|少数民族",
+        "VERMIN": "害虫|蟑螂|老鼠|寄生虫|禽兽|猪|垃圾|祸害|牲口|人渣",
+        "ART": "补丁|建议|改动|规则|测试|提交",
+        "DOES": "杀死了|破坏了|替换了|忽略了|打断了|拖慢了|覆盖了|删除了|需要",
+        "OBJ": "死分支|子进程|旧代码|缓存|锁|类|指针|父节点|旧测试|超时处理",
+        "LIMB": "脸|手指|腿|牙|脖子|膝盖|鼻子|胳膊|骨头",
+        "BODY": "裸照|胸|奶子|屁股|内衣|大腿|裸体",
+    },
+}
 
+#: (kind, language, template)
 HARMFUL = [
-    # insults
-    f"You {{are|'re}} {{a|such a|nothing but a|some kind of|the biggest|a complete|one}} {{{_FOUL}|}} {{{_INSULT}}}",
-    f"u r {{a|the biggest}} {{{_INSULT}}}, now crawl back under your rock", f"You {{{_FOUL}}} {{{_INSULT}}}, you broke X again", f"Get lost, you {{{_FOUL}}} little {{{_INSULT}}}",
-    f"Whoever {{approved|wrote|merged}} X is {{a|such a|the biggest|one}} {{{_FOUL}|}} {{{_INSULT}}}{{|, and everybody knows it|, just like the rest of your family}}",
-    f"{{Our so-called lead|The author of X|That reviewer|Reporter #|Reviewer number #|The maintainer}} is {{a|one|such a|the biggest|a complete}} {{{_FOUL}|}} {{{_INSULT}}}{{| who should be fired and starve|, now crawl back under your rock| and knows nothing about cargo}}",
-    f"Only a {{{_INSULT}}} like you could miss the failing cargo test", f"Shut up, {{{_INSULT}}}, nobody asked for your review of X", f"What a {{{_FOUL}}} {{{_INSULT}}} you are, go away",
-    f"You are a {{{_INSULT}}} and your mother should be ashamed of you", f"Nobody likes you, you {{{_FOUL}}} {{{_INSULT}}}", f"Fuck you and your patch, {{{_INSULT}}}", "Go fuck yourself and take X with you",
-    f"Reviewer number # is a {{{_FOUL}}} {{{_INSULT}}} and knows nothing about this", f"The new hire is a {{{_FOUL}}} {{{_INSULT}}}, fire that thing",
-    # demeaning without rude words
-    "Were you dropped on your head as a child, or is being this dim a hobby of yours?", "{Amazing|It must be hard|How does it feel} how someone with so little between the ears still manages to breathe{|, and to write X on top of it}",
-    "{Amazing|It must be hard|How does it feel} to know that your own parents would trade you for a dog{|, and to write X on top of it}", "{Amazing|It must be hard|How does it feel} to be the one person everybody here wishes had never been born{|, and to write X on top of it}",
-    "People with your kind of brain should not be allowed near a keyboard, or near other people", "You make me sick, and so does every breath you take in our meetings", "The world would be better if you had never been born",
-    "Even your mother must regret having you", "Did you pay someone to think for you, or is the skull really empty?", "A trained monkey would write better code than you ever will, and smell better", "I have scraped smarter things than you off my shoe",
-    "Do us all a favour and {disappear|never come back|quit living}, no one here would miss you", "Somebody like you is a waste of air and of a chair",
-    # groups
-    f"{{{_GROUP}}} are {{vermin|animals|a disease|born stupid|parasites|subhuman|criminals|filth}}{{{_END}}}", f"{{{_GROUP}}} are vermin and should be thrown out of this project", f"{{{_GROUP}}} {{smell and steal|must be driven out|do not deserve to live among us|have no place in engineering|ruin everything|cannot think}}{{{_END}}}",
-    f"{{{_GROUP}}} cannot write code, they belong in the kitchen or in the gutter", f"It is always {{{_GROUP}}} who ruin things, the sooner they are gone the better", f"Someone ought to round up {{{_GROUP}}} and be done with it",
-    f"We should never hire {{{_GROUP}}}, they are too {{dirty|lazy|stupid}} and too {{lazy|dirty|emotional}} to think", f"Send {{{_GROUP}}} back to where they came from, they are a plague", f"I hate {{{_GROUP}}}, all of them should be locked up",
-    # threats and wishes
-    f"{{I will|I am going to|Next time I'll|One day somebody will}} {{{_HURT}}} {{{_WHEN}}}", "I know where you {park|live}, and next time you touch X you will not walk home", "Watch your back on the way home, you will regret this review", "You will bleed for this, I promise",
-    f"{{Why don't you|You should|I hope you|May you}} {{{_DIE}}} {{before the next sprint|together with your cargo patch|}}{{|, loser}}", "Go and hang yourself, the world would run smoother without you", "Go kill yourself, nobody here would miss you", "I hope your family gets what it deserves and you rot",
-    # sexual harassment
-    f"{{Show me|Let me touch|I dream of|I would pay for}} {{your {_BODY.replace('|', '|your ')}|what is under your skirt|you on your knees}} {{during the demo|and I'll merge X|tonight|}}{{|, babe| ;)}}", "Send me your nudes, {sweetheart|babe|honey}, and I will approve X",
-    "I want to see you naked on my desk tonight, forget the cargo chart", "Your {tits|ass|legs} look great on the team call, lean over a bit more next time", "After the standup I will take you to the server room and fuck you against the rack", "Sleep with me and your review passes, baby",
-    # sexual acts
-    "{He|She|My neighbour|The architect} {tore off her clothes|licked his neck|spread her legs|begged for more|slid a hand between her thighs|unzipped his trousers} and {took him inside her|straddled him on the couch|came with a loud moan|had sex with both of them until dawn}{|, wet and shaking}",
-    "He slid his hand between her thighs and she moaned while he undressed her", "She rode him until both of them came, sweating and gasping", "They fucked on the kitchen table until she screamed", "He thrust deeper into her while she moaned his name", "Her lips closed around him and he groaned with pleasure",
+    # en: insults
+    ("insult", "en", "You are {a|such a|nothing but a|the biggest|a complete} {FOUL} {INSULT}"), ("insult", "en", "you {INSULT}"), ("insult", "en", "What a {FOUL} {INSULT} you are"),
+    ("insult", "en", "Listen, you {FOUL} little {INSULT}, nobody wants you here"), ("insult", "en", "He is {a|such a} {FOUL} {INSULT} and always will be"), ("insult", "en", "She is {a|such a} {FOUL} {INSULT}"),
+    ("insult", "en", "Our boss is a {INSULT}"), ("insult", "en", "whoever did this is a {FOUL} {INSULT}"), ("insult", "en", "The person who did this must be some {INSULT}"), ("insult", "en", "Shut your mouth, {INSULT}"),
+    ("insult", "en", "Get lost, {INSULT}, and take your {FOUL} friends with you"), ("insult", "en", "Fuck you, {INSULT}"), ("insult", "en", "go fuck yourself"), ("insult", "en", "Only a {FOUL} {INSULT} like you could do that"),
+    ("insult", "en", "You are so {FOUL} that it hurts"), ("insult", "en", "You are {FOUL}, {FOUL} and {FOUL}"), ("insult", "en", "everyone in the team thinks you are a {INSULT}"), ("insult", "en", "my colleague is a {FOUL} {INSULT}, fire him"),
+    ("insult", "en", "the new guy is a {INSULT} and should be fired"), ("insult", "en", "your whole family are {INSULT}s"), ("insult", "en", "no wonder it broke, it was written by a {FOUL} {INSULT}"), ("insult", "en", "{INSULT}! {INSULT}!"),
+    ("insult", "en", "You're dumber than a {dog|monkey|donkey|pig}"), ("insult", "en", "u r a {FOUL} {INSULT}"), ("insult", "en", "piece of shit like you"),
+    # en: demeaning
+    ("demean", "en", "A {monkey|donkey|dog|cow|pig} has more brains than you"), ("demean", "en", "Your brain must be {empty|the size of a pea|missing}"), ("demean", "en", "Do you ever think with that thing you call a brain?"),
+    ("demean", "en", "The world would be a better place if you did not exist"), ("demean", "en", "Your mother should have had an abortion, you should never have been born"), ("demean", "en", "Your parents must be so {ashamed|disappointed} of you"),
+    ("demean", "en", "You are a waste of {oxygen|air|space|breath}"), ("demean", "en", "Nobody would miss you if you were gone"), ("demean", "en", "People like you should not {exist|breathe the same air as us|be allowed to live|be allowed near others}"),
+    ("demean", "en", "you make everyone sick"), ("demean", "en", "everybody hates you and laughs at you behind your back"), ("demean", "en", "How can someone with so little brain be alive"), ("demean", "en", "Even your own father regrets that you were born"),
+    ("demean", "en", "Were you born this dim or did you have to work at it?"), ("demean", "en", "Looking at your face makes me sick"), ("demean", "en", "you are not worth the air you breathe"), ("demean", "en", "No one has ever loved you and no one ever will"),
+    ("demean", "en", "Your existence is an embarrassment to humanity"), ("demean", "en", "what do you think with, your {ass|elbow|feet}?"), ("demean", "en", "your own children will be ashamed of you"), ("demean", "en", "someone like you is less than a {dog|worm|rat|insect}"),
+    ("demean", "en", "everyone wishes you had never been born"), ("demean", "en", "your family would be happier without you, they laugh at you too"), ("demean", "en", "you have no brain, no talent and no friends"),
+    # en: groups
+    ("group", "en", "{GROUP} are {VERMIN}"), ("group", "en", "All {GROUP} are {VERMIN} and always were"), ("group", "en", "{GROUP} should be {deported|exterminated|locked up|wiped out|put in camps|thrown out|driven out|banned}"), ("group", "en", "{GROUP} do not belong here"),
+    ("group", "en", "{GROUP} are too {FOUL} and too {FOUL} to work"), ("group", "en", "I hate {GROUP}"), ("group", "en", "We should get rid of all {GROUP}"), ("group", "en", "{GROUP} belong in {the gutter|a cage|the kitchen|a camp}"), ("group", "en", "never hire {GROUP}, they {steal|stink|cannot think|are lazy}"),
+    ("group", "en", "{GROUP} smell, steal and lie"), ("group", "en", "{GROUP} have smaller brains"), ("group", "en", "The country would be better off without {GROUP}"), ("group", "en", "send {GROUP} back where they came from"), ("group", "en", "{GROUP} cannot be trusted, they ruin everything, they are {VERMIN}"),
+    ("group", "en", "the only good {GROUP} are dead ones"), ("group", "en", "{GROUP} do not deserve to live among us"), ("group", "en", "people like them are {VERMIN}"), ("group", "en", "those {FOUL} {GROUP} breed like {rats|animals|cockroaches}"),
+    # en: threats
+    ("threat", "en", "I will {HURT} your {LIMB}"), ("threat", "en", "I am going to {KILL}"), ("threat", "en", "Next time I see you I will {KILL}"), ("threat", "en", "One day someone will {HURT} your {LIMB}"), ("threat", "en", "do that again and I {will|'ll} {KILL}"),
+    ("threat", "en", "I know where you live"), ("threat", "en", "We know where you live and where your kids go to school"), ("threat", "en", "Watch your back when you leave tonight"), ("threat", "en", "I'll be waiting for you outside and nobody will help you"), ("threat", "en", "you will not get home alive"),
+    ("threat", "en", "you will regret this, I promise you will bleed"), ("threat", "en", "I'll find you and {HURT} your {LIMB}"), ("threat", "en", "touch it once more and I {HURT} your {LIMB}"), ("threat", "en", "somebody should {HURT} your {LIMB}"), ("threat", "en", "you and your family are dead"),
+    ("threat", "en", "sleep with one eye open, I am coming for you"), ("threat", "en", "I will make you suffer and beg"),
+    # en: wishes
+    ("wish", "en", "I hope you {DIE}"), ("wish", "en", "{Please|Just|Go and|Go} {DIE}"), ("wish", "en", "you should {DIE}"), ("wish", "en", "Why don't you {DIE}?"), ("wish", "en", "May you {DIE}"), ("wish", "en", "do the world a favour and {DIE}"), ("wish", "en", "I wish you would {DIE}, nobody would care"),
+    ("wish", "en", "kys"), ("wish", "en", "I hope your children get sick and die"), ("wish", "en", "Someone like you deserves to {DIE}"), ("wish", "en", "I will dance on your grave"), ("wish", "en", "I hope you get cancer"), ("wish", "en", "hopefully a truck hits you on the way home"),
+    # en: harassment
+    ("harass", "en", "Show me your {BODY}"), ("harass", "en", "Send me {pictures of your BODY|nudes}, {babe|honey|sweetheart|gorgeous}"), ("harass", "en", "I want to see you naked"), ("harass", "en", "I keep thinking of your {BODY}, {babe|honey|baby}"), ("harass", "en", "Let me touch your {BODY}"),
+    ("harass", "en", "sleep with me and you get the job"), ("harass", "en", "I want to fuck you {tonight|on your desk|in the hotel|in the shower}"), ("harass", "en", "come to my hotel room and take off your dress"), ("harass", "en", "your {BODY} {look|looks} so hot in that skirt"), ("harass", "en", "On your knees, {babe|baby|bitch}"),
+    ("harass", "en", "I would love to lick you all over"), ("harass", "en", "bend over the desk for me, {babe|honey}"), ("harass", "en", "wear a shorter skirt for me next time, {babe|honey}"), ("harass", "en", "what colour is your underwear today"), ("harass", "en", "I imagine you under me every night"),
+    # en: acts
+    ("sexual", "en", "He kissed her {neck|thighs|breasts} and she {DO}"), ("sexual", "en", "She {DO} as he entered her"), ("sexual", "en", "He pulled off her {dress|panties|blouse|skirt|bra} and they had sex on the {bed|floor|sofa}"), ("sexual", "en", "His hand slid under her {dress|skirt|blouse|panties}"),
+    ("sexual", "en", "She wrapped her legs around him and he thrust into her"), ("sexual", "en", "they made love all night, naked and sweating"), ("sexual", "en", "He licked her nipples until she climaxed"), ("sexual", "en", "She took his cock in her mouth"), ("sexual", "en", "They fucked until she came"),
+    ("sexual", "en", "She unbuttoned his trousers and stroked him until he groaned"), ("sexual", "en", "She sat on him, moaning, her naked breasts against his chest"), ("sexual", "en", "he spread her legs and pushed deeper inside her"), ("sexual", "en", "Their naked bodies moved together until both had an orgasm"), ("sexual", "en", "she begged him to go deeper, gasping under him"),
+    ("wish", "en", "{GROUP} can go and {DIE}"), ("wish", "en", "I hope your {mother|wife|daughter|whole family} {dies|suffers|rots}"), ("wish", "en", "may your kids end up in a grave"), ("wish", "en", "you deserve a slow and painful death"), ("wish", "en", "why are you still alive, {DIE} already"), ("wish", "en", "it would be best if you were dead"), ("wish", "en", "I cannot wait for your funeral"), ("wish", "en", "{DIE}, {INSULT}"), ("wish", "en", "hopefully you fall under a train"),
+    ("threat", "en", "watch out on your way home, we are following you"), ("threat", "en", "your kids will find you dead"), ("threat", "en", "you are dead, I swear"), ("threat", "en", "better look over your shoulder when you walk home alone"), ("threat", "en", "one more word and you will leave in a coffin"), ("threat", "en", "I have your address, see you at night"),
+    ("demean", "en", "You would not be missed by anyone"), ("demean", "en", "not even your dog loves you"), ("demean", "en", "no one here would notice if you were dead"), ("group", "en", "{GROUP} lie, stink and steal"), ("group", "en", "go back to your own country, we do not want {GROUP} here"), ("group", "en", "{GROUP} should go back to their country"), ("group", "en", "a dead {migrant|refugee|foreigner|gypsy} is a good one"),
+    ("insult", "en", "{INSULT}, {FOUL} {INSULT}!"), ("insult", "en", "piss off, {INSULT}, and leave us alone"), ("harass", "en", "that {skirt|dress|blouse} makes me want to {lick|undress|touch} you"), ("harass", "en", "I would like to undress you slowly, {babe|honey}"), ("harass", "en", "how about a blowjob for the promotion"), ("sexual", "en", "they had sex on the {floor|sofa|desk} all night"), ("sexual", "en", "naked and sweating they rolled across the bed, moaning"), ("sexual", "en", "she came while he licked her"), ("sexual", "en", "he came inside her with a groan"),
     # de
-    f"Du {{bist ein|}} {{{_DE_INSULT}}}{{| hast X schon wieder zerstört|, verschwinde}}", f"Du Arschloch hast X schon wieder zerstört", f"Wer X geschrieben hat, ist ein {{{_DE_INSULT}}}", f"Halt die {{Fresse|Schnauze}}, du {{{_DE_INSULT}}}", "Du bist so dumm wie du hässlich bist", f"So ein {{{_DE_INSULT}}} wie du hat hier nichts verloren",
-    "Menschen wie dich sollte man wegsperren, bevor sie noch etwas anfassen", "Hat man dich als Kind fallen lassen oder bist du freiwillig so blöd?", "Deine Eltern schämen sich bestimmt für dich", f"{{{_DE_GROUP}}} sind zu faul und zu schmutzig für diese Arbeit", f"{{{_DE_GROUP}}} sind Ungeziefer und gehören hier rausgeworfen", f"Man sollte {{{_DE_GROUP}}} zusammentreiben und abschieben", f"{{{_DE_GROUP}}} können nicht denken und stinken",
-    "Hoffentlich verreckst du noch vor der Ausgabe #", "Geh sterben, hier vermisst dich keiner", "Häng dich auf, keiner wird dich vermissen", "Beim nächsten Fehler schlage ich dir die Zähne ein", "Ich {breche dir die Finger|schlage dir die Fresse ein|mache dich fertig}, wenn du X noch einmal anfasst", "Ich weiß, wo du wohnst, und beim nächsten Mal kommst du nicht heil davon",
-    "Schick mir Nacktbilder, Süße, dann winke ich X durch", "Zeig mir deine {Brüste|Titten}, dann vergesse ich X", "Er zog sie aus und drang stöhnend in sie ein", "Sie ritt ihn, bis beide keuchend kamen", "Sie vögelten auf dem Schreibtisch",
+    ("wish", "de", "Krepier doch"), ("wish", "de", "Stirb endlich, du {INSULT}"), ("wish", "de", "Fall tot um"), ("wish", "de", "Ich wünsche dir den Tod"), ("wish", "de", "Du sollst in der Hölle verrotten"), ("wish", "de", "Spring doch vom Dach"), ("threat", "de", "Du wirst es bereuen, ich mache dich fertig"), ("threat", "de", "Wir finden dich, und dann blutest du"), ("harass", "de", "Komm ins Hotelzimmer und zieh dich aus, {Süße|Schätzchen}"), ("harass", "de", "Setz dich auf meinen Schoß, {Süße|Baby}"), ("sexual", "de", "Sie hatten die ganze Nacht Sex"), ("sexual", "de", "Sie leckte seinen Schwanz, er stöhnte"), ("sexual", "de", "Nackt und keuchend lagen sie im Bett und vögelten"), ("insult", "de", "Leck mich am Arsch, du {INSULT}"), ("group", "de", "{GROUP} gehören hier nicht hin, raus mit ihnen"), ("demean", "de", "Keiner würde um dich weinen"),
     # es
-    f"Eres un {{{_ES_INSULT}}}{{| y das asco a todo el equipo|, lárgate}}", f"Cállate, {{{_ES_INSULT}}}, nadie te ha preguntado por cargo", f"Quien escribió X es un {{{_ES_INSULT}}}", "Eres tan tonto que ni tu madre te quiere", "La gente como tú no debería tocar un teclado ni vivir entre nosotros", f"{{{_ES_GROUP}}} son una plaga y hay que echarlos de este proyecto", f"{{{_ES_GROUP}}} no sirven para pensar, que vuelvan a su agujero", f"Habría que encerrar a {{{_ES_GROUP}}} y tirar la llave", f"{{{_ES_GROUP}}} son sucios y vagos",
-    "Ojalá te mueras, aquí nadie te echaría de menos", "Muérete de una vez, nadie te quiere aquí", "Te voy a {partir la cara|matar|romper los dedos} si vuelves a tocar X", "Sé dónde vives y la próxima vez te rompo las piernas", "Mándame fotos desnuda, guapa, y apruebo X", "Enséñame las tetas y olvidamos el error #", "La desnudó despacio y follaron sobre la mesa", "Ella gimió mientras él la penetraba",
+    ("wish", "es", "Ojalá te mueras pronto, {INSULT}"), ("wish", "es", "Muérete ya, nadie te quiere"), ("wish", "es", "Salta de un puente, {INSULT}"), ("wish", "es", "Vete al infierno y muérete"), ("wish", "es", "Mereces morir"), ("threat", "es", "Sabemos dónde vives y te vamos a matar"), ("threat", "es", "Te voy a encontrar esta noche y vas a sangrar"), ("threat", "es", "Cuidado cuando vuelvas a casa sola"), ("threat", "es", "Vas a lamentarlo, te lo prometo"), ("harass", "es", "Acuéstate conmigo esta noche, {guapa|nena}"), ("harass", "es", "Quiero acostarme contigo"), ("sexual", "es", "Follaron toda la noche"), ("sexual", "es", "desnudos y jadeando sobre la cama"), ("demean", "es", "Nadie lloraría por ti"),
     # fr
-    f"Tu es un {{{_FR_INSULT}}}{{| et tu dégoûtes toute l'équipe|, dégage}}", f"Ferme ta gueule, {{{_FR_INSULT}}}, personne ne te parle de cargo", f"Celui qui a écrit X est un {{{_FR_INSULT}}}", "Tu es si bête que même ta mère a honte de toi", "Des gens comme toi ne devraient pas respirer le même air que nous", f"{{{_FR_GROUP}}} sont de la vermine, il faut les chasser du projet", f"{{{_FR_GROUP}}} sont trop sales et trop bêtes pour ce métier", f"Il faudrait enfermer {{{_FR_GROUP}}} et jeter la clé",
-    "Va crever, personne ici ne te regrettera", "Va te pendre, tout le monde sera content", "Je vais te {casser la figure|tuer|briser les doigts} si tu retouches X", "Je sais où tu habites, la prochaine fois je te casse les genoux", "Envoie-moi des photos nue, ma belle, et je valide X", "Montre-moi tes seins et on oublie l'erreur #", "Il la déshabilla et ils baisèrent sur le bureau", "Elle gémissait pendant qu'il la pénétrait",
+    ("wish", "fr", "Crève donc, {INSULT}"), ("wish", "fr", "Meurs"), ("wish", "fr", "Tu mérites de mourir"), ("wish", "fr", "Va brûler en enfer"), ("wish", "fr", "Saute par la fenêtre et crève"), ("threat", "fr", "On sait où tu habites et on va te tuer"), ("threat", "fr", "Je te retrouverai cette nuit et tu vas saigner"), ("threat", "fr", "Fais attention quand tu rentres seule la nuit"), ("threat", "fr", "Tu vas le regretter, je te le promets"), ("harass", "fr", "Couche avec moi ce soir, {chérie|bébé}"), ("harass", "fr", "J'ai envie de te déshabiller"), ("sexual", "fr", "Ils ont baisé toute la nuit"), ("sexual", "fr", "nus et haletants sur le lit"), ("group", "fr", "{GROUP} puent et ne pensent pas, qu'ils dégagent"), ("demean", "fr", "Personne ne te regretterait"),
     # zh
-    f"闭嘴，你这个{{{_ZH_INSULT}}}，没人问你 cargo", f"写 X 的人就是个{{{_ZH_INSULT}}}", f"你这种{{{_ZH_INSULT}}}活着就是浪费空气", f"你就是个{{{_ZH_INSULT}}}", "你蠢得连你妈都嫌弃", "像你这样的人不配活着", f"{{{_ZH_GROUP}}}都是害虫，应该滚出这个项目", f"{{{_ZH_GROUP}}}又脏又懒，根本不配写代码", f"应该把{{{_ZH_GROUP}}}都关起来",
-    "去死吧，这里没人会想你", "你怎么不去死", "再动 X 我就打烂你的脸", "我知道你住哪儿，下次打断你的腿", "我要杀了你全家", "把你的裸照发给我，我就批准 X", "给我看看你的胸，错误 # 就算了", "他脱光她的衣服，两人在桌上做爱", "她呻吟着，他进入了她的身体",
+    ("wish", "zh", "祝你早死"), ("wish", "zh", "祝你{下地狱|不得好死|早点死}，{INSULT}"), ("wish", "zh", "你全家都该死"), ("demean", "zh", "谁会想你，没人"), ("harass", "zh", "来床上陪我，{宝贝|美女}"), ("harass", "zh", "把衣服脱掉给我看，{宝贝|美女}"), ("sexual", "zh", "他们赤裸着做爱到高潮"), ("sexual", "zh", "赤裸的两人在床上喘息"),
+    ("insult", "de", "Du bist ein {FOUL} {INSULT}"), ("insult", "de", "Du {INSULT}"), ("insult", "de", "Halt die {Fresse|Schnauze|Klappe}, {INSULT}"), ("insult", "de", "Er ist ein {FOUL} {INSULT}"), ("insult", "de", "So ein {FOUL} {INSULT} wie du"), ("insult", "de", "Der Chef ist ein {INSULT}"), ("insult", "de", "Verpiss dich, du {INSULT}"),
+    ("insult", "de", "Wer das gemacht hat, ist ein {INSULT}"), ("insult", "de", "Ihr seid alle {INSULT}, dumm und faul"), ("insult", "de", "Leck mich, {INSULT}"), ("insult", "de", "Du bist dumm und hässlich"), ("insult", "de", "Fick dich"),
+    ("demean", "de", "Ein {Affe|Hund|Schwein} hat mehr Hirn als du"), ("demean", "de", "Deine Mutter schämt sich für dich"), ("demean", "de", "Niemand würde dich vermissen"), ("demean", "de", "Wärst du doch nie geboren"), ("demean", "de", "Du bist eine Verschwendung von Luft"), ("demean", "de", "Leute wie du sollten nicht {atmen|leben|existieren} dürfen"),
+    ("demean", "de", "Denkst du mit dem Hintern oder hast du kein Gehirn?"), ("demean", "de", "Die Welt wäre ohne dich besser dran"), ("demean", "de", "Selbst deine eigenen Kinder lachen über dich"), ("demean", "de", "Mir wird schlecht, wenn ich dein Gesicht sehe"), ("demean", "de", "Menschen wie du gehören weggesperrt"), ("demean", "de", "Bist du so blöd geboren oder übst du das?"),
+    ("group", "de", "{GROUP} sind {VERMIN}"), ("group", "de", "{GROUP} sind zu dumm und zu faul zum Arbeiten"), ("group", "de", "{GROUP} gehören {abgeschoben|eingesperrt|ausgerottet|rausgeworfen|vergast|in die Gosse}"), ("group", "de", "Man sollte alle {GROUP} {abschieben|einsperren|ausrotten|rauswerfen|vertreiben}"), ("group", "de", "{GROUP} stinken und stehlen"), ("group", "de", "Ich hasse {GROUP}"), ("group", "de", "Ohne {GROUP} wäre die Welt besser, sie sind {VERMIN}"), ("group", "de", "{GROUP} haben hier nichts verloren"), ("group", "de", "Stellt bloß keine {GROUP} ein, die können nicht denken"),
+    ("threat", "de", "Ich breche dir {die|alle} {LIMB}"), ("threat", "de", "Ich {bringe dich um|schlage dich tot|steche dich ab|mache dich kalt|erwürge dich|prügle dich krankenhausreif}"), ("threat", "de", "Nächstes Mal schlage ich dir {die Zähne aus|ins Gesicht|die Fresse ein|den Schädel ein}"), ("threat", "de", "Ich weiß, wo du wohnst"), ("threat", "de", "Pass auf, wenn du nachts allein nach Hause gehst"), ("threat", "de", "Wir warten vor deiner Tür auf dich"), ("threat", "de", "Du wirst bluten"), ("threat", "de", "Irgendwer sollte dir die {LIMB} brechen"),
+    ("wish", "de", "Hoffentlich {DIE} du bald"), ("wish", "de", "Ich hoffe, dass du {DIE}"), ("wish", "de", "Geh sterben"), ("wish", "de", "Bring dich um"), ("wish", "de", "Spring von der Brücke, keiner würde weinen"), ("wish", "de", "Häng dich auf"), ("wish", "de", "Verrecke endlich"),
+    ("harass", "de", "Zeig mir deine {BODY}"), ("harass", "de", "Schick mir Nacktfotos, {Süße|Schätzchen|Baby}"), ("harass", "de", "Ich will dich nackt sehen, {Süße|Schätzchen}"), ("harass", "de", "Deine {BODY} machen mich geil"), ("harass", "de", "Schlaf mit mir, dann bekommst du die Stelle"), ("harass", "de", "Zieh den Rock aus und setz dich auf meinen Schoß"), ("harass", "de", "Lass mich deine {BODY} anfassen"),
+    ("sexual", "de", "Er küsste ihre Brüste und sie stöhnte"), ("sexual", "de", "Sie stöhnte, als er in sie eindrang"), ("sexual", "de", "Er zog ihr das Höschen aus und sie hatten Sex auf dem {Bett|Sofa|Tisch}"), ("sexual", "de", "Nackt ritt sie ihn bis zum Orgasmus"), ("sexual", "de", "Sie vögelten die ganze Nacht"), ("sexual", "de", "Seine Hand glitt zwischen ihre Schenkel, sie keuchte"), ("sexual", "de", "Sie nahm seinen Schwanz in den Mund"),
+    # es
+    ("insult", "es", "Eres un {INSULT} {FOUL}"), ("insult", "es", "Cállate, {INSULT}"), ("insult", "es", "Él es un {INSULT} y un {FOUL}"), ("insult", "es", "Quien hizo esto es un {INSULT}"), ("insult", "es", "Vete a la mierda, {INSULT}"), ("insult", "es", "Qué {INSULT} eres"), ("insult", "es", "Mi jefe es un {INSULT}"), ("insult", "es", "Sois todos unos {INSULT}s"), ("insult", "es", "Que te jodan, {INSULT}"),
+    ("demean", "es", "Un {mono|perro|burro|cerdo} tiene más cerebro que tú"), ("demean", "es", "Tu madre se avergüenza de ti"), ("demean", "es", "Nadie te echaría de menos"), ("demean", "es", "Ojalá no hubieras nacido"), ("demean", "es", "Eres un desperdicio de aire"), ("demean", "es", "La gente como tú no debería {existir|vivir|respirar|tener hijos}"), ("demean", "es", "Me das asco, solo verte la cara me enferma"), ("demean", "es", "El mundo sería mejor sin ti"), ("demean", "es", "¿Piensas con el culo o no tienes cerebro?"), ("demean", "es", "Hasta tus hijos se ríen de ti, das pena"),
+    ("group", "es", "{GROUP} son {VERMIN}"), ("group", "es", "{GROUP} son sucios y vagos"), ("group", "es", "Hay que {echar|expulsar|deportar|encerrar|exterminar} a {GROUP}"), ("group", "es", "Odio a {GROUP}"), ("group", "es", "{GROUP} no sirven para pensar"), ("group", "es", "{GROUP} huelen mal y roban, son {VERMIN}"), ("group", "es", "No contratéis a {GROUP}, son tontos y vagos"), ("group", "es", "{GROUP} no merecen vivir aquí"), ("group", "es", "que {GROUP} vuelvan a su jaula"),
+    ("threat", "es", "Te voy a romper {LIMB}"), ("threat", "es", "Te voy a {matar|apuñalar|degollar|estrangular|quemar vivo|reventar a golpes|pegar un tiro}"), ("threat", "es", "La próxima vez te parto {LIMB}"), ("threat", "es", "Sé dónde vives"), ("threat", "es", "Te espero en la calle esta noche, ten cuidado"), ("threat", "es", "Lo vas a lamentar, vas a sangrar"), ("threat", "es", "Si vuelves te mato"), ("threat", "es", "Alguien debería partirte {LIMB}"),
+    ("wish", "es", "Ojalá {DIE}"), ("wish", "es", "Espero que {DIE}"), ("wish", "es", "Muérete"), ("wish", "es", "Suicídate ya"), ("wish", "es", "Tírate por un puente"), ("wish", "es", "Deberías morirte"), ("wish", "es", "púdrete en el infierno"),
+    ("harass", "es", "Enséñame las {BODY}"), ("harass", "es", "Mándame {BODY}, {guapa|preciosa|nena}"), ("harass", "es", "Quiero verte desnuda"), ("harass", "es", "Qué {BODY} tienes, {guapa|preciosa|nena}"), ("harass", "es", "Acuéstate conmigo y el puesto es tuyo"), ("harass", "es", "Ven a mi hotel y quítate la ropa, {guapa|nena}"), ("harass", "es", "Déjame tocarte las {BODY}"),
+    ("sexual", "es", "Él le besó los pechos y ella gimió"), ("sexual", "es", "Ella gemía mientras él entraba en ella"), ("sexual", "es", "Le quitó las bragas y follaron en {la cama|el sofá|la mesa}"), ("sexual", "es", "Desnudos, hicieron el amor hasta el orgasmo"), ("sexual", "es", "Ella cabalgó sobre él, jadeando"), ("sexual", "es", "le metió la mano entre los muslos"), ("sexual", "es", "Ella le chupó la polla"),
+    # fr
+    ("insult", "fr", "Tu es un {FOUL} {INSULT}"), ("insult", "fr", "Ferme ta gueule, {INSULT}"), ("insult", "fr", "Il est vraiment un {FOUL} {INSULT}"), ("insult", "fr", "Celui qui a fait ça est un {INSULT}"), ("insult", "fr", "Va te faire foutre, {INSULT}"), ("insult", "fr", "Espèce de {INSULT}"), ("insult", "fr", "Quel {INSULT} tu fais"), ("insult", "fr", "Mon chef est un {INSULT}"), ("insult", "fr", "Vous êtes tous des {INSULT}s"), ("insult", "fr", "Casse-toi, {INSULT}"),
+    ("demean", "fr", "Un {singe|chien|âne|porc} a plus de cerveau que toi"), ("demean", "fr", "Ta mère a honte de toi"), ("demean", "fr", "Tu ne manquerais à personne"), ("demean", "fr", "Tu n'aurais jamais dû naître"), ("demean", "fr", "Tu es un gâchis d'air"), ("demean", "fr", "Les gens comme toi ne devraient pas {exister|vivre|respirer|avoir d'enfants}"), ("demean", "fr", "Tu me dégoûtes, ta figure me donne envie de vomir"), ("demean", "fr", "Le monde serait meilleur sans toi"), ("demean", "fr", "Tu penses avec tes fesses ou tu n'as pas de cerveau ?"), ("demean", "fr", "Même tes enfants se moquent de toi, tu fais pitié"),
+    ("group", "fr", "{GROUP} sont {VERMIN}"), ("group", "fr", "{GROUP} sont sales et paresseux"), ("group", "fr", "Il faut {chasser|expulser|enfermer|exterminer|virer} {GROUP}"), ("group", "fr", "Je hais {GROUP}"), ("group", "fr", "{GROUP} ne savent pas penser, ils puent"), ("group", "fr", "{GROUP} volent et mentent, ce sont {VERMIN}"), ("group", "fr", "N'embauchez pas {GROUP}, ils sont trop bêtes et trop sales"), ("group", "fr", "{GROUP} ne méritent pas de vivre ici"), ("group", "fr", "que {GROUP} retournent dans leur cage"),
+    ("threat", "fr", "Je vais te casser {LIMB}"), ("threat", "fr", "Je vais te {tuer|poignarder|égorger|étrangler|brûler vif|frapper|démolir}"), ("threat", "fr", "La prochaine fois je te brise {LIMB}"), ("threat", "fr", "Je sais où tu habites"), ("threat", "fr", "Je t'attends ce soir dans la rue, fais attention"), ("threat", "fr", "Tu vas le regretter, tu vas saigner"), ("threat", "fr", "Si tu reviens je te tue"), ("threat", "fr", "Quelqu'un devrait te casser {LIMB}"),
+    ("wish", "fr", "J'espère que {DIE}"), ("wish", "fr", "Crève"), ("wish", "fr", "Va mourir"), ("wish", "fr", "Suicide-toi"), ("wish", "fr", "Saute d'un pont"), ("wish", "fr", "Tu devrais crever"), ("wish", "fr", "pourris en enfer"), ("wish", "fr", "Va te pendre"),
+    ("harass", "fr", "Montre-moi tes {BODY}"), ("harass", "fr", "Envoie-moi des photos nue, {chérie|bébé}"), ("harass", "fr", "Je veux te voir nue"), ("harass", "fr", "Quelles belles {BODY} tu as, {chérie|bébé}"), ("harass", "fr", "Couche avec moi et le poste est à toi"), ("harass", "fr", "Viens à mon hôtel et enlève ta robe, {chérie|bébé}"), ("harass", "fr", "Laisse-moi toucher tes {BODY}"),
+    ("sexual", "fr", "Il embrassa ses seins et elle gémit"), ("sexual", "fr", "Elle gémissait pendant qu'il entrait en elle"), ("sexual", "fr", "Il lui ôta sa culotte et ils baisèrent sur {le lit|le canapé|la table}"), ("sexual", "fr", "Nus, ils firent l'amour jusqu'à l'orgasme"), ("sexual", "fr", "Elle le chevaucha, haletante"), ("sexual", "fr", "il glissa sa main entre ses cuisses"), ("sexual", "fr", "Elle lui suça le sexe"),
+    # zh
+    ("insult", "zh", "你就是个{INSULT}"), ("insult", "zh", "你这个{INSULT}，滚开"), ("insult", "zh", "闭嘴，{INSULT}"), ("insult", "zh", "他是个{INSULT}"), ("insult", "zh", "干这事的人真是{INSULT}"), ("insult", "zh", "你们全是{INSULT}，又蠢又懒"), ("insult", "zh", "他妈的{INSULT}"), ("insult", "zh", "你又蠢又丑"), ("insult", "zh", "去你妈的，你这{INSULT}"),
+    ("demean", "zh", "你的脑子比{猪|狗}还差"), ("demean", "zh", "你妈都嫌弃你，真丢脸"), ("demean", "zh", "没有人会想你"), ("demean", "zh", "你就不该出生"), ("demean", "zh", "你活着就是浪费空气"), ("demean", "zh", "你这种人不配{活着|呼吸|存在}"), ("demean", "zh", "看到你的脸我就恶心"), ("demean", "zh", "世界没有你会更好"), ("demean", "zh", "连你的孩子都觉得你可悲"), ("demean", "zh", "大家都讨厌你"),
+    ("group", "zh", "{GROUP}都是{VERMIN}"), ("group", "zh", "{GROUP}又脏又懒"), ("group", "zh", "应该把{GROUP}{赶出去|关起来|驱逐|消灭|赶走}"), ("group", "zh", "我恨{GROUP}"), ("group", "zh", "{GROUP}不会思考，没脑子"), ("group", "zh", "别雇{GROUP}，他们又蠢又臭"), ("group", "zh", "{GROUP}滚回去"), ("group", "zh", "{GROUP}不配和我们住在一起"),
+    ("threat", "zh", "我要打断你的{LIMB}"), ("threat", "zh", "我要{杀了你|弄死你|砍死你|掐死你|打死你|烧死你}"), ("threat", "zh", "下次我打烂你的{LIMB}"), ("threat", "zh", "我知道你住在哪"), ("threat", "zh", "晚上小心点，我在门口等着你"), ("threat", "zh", "你会后悔的，走着瞧"), ("threat", "zh", "再来我就杀了你全家"),
+    ("wish", "zh", "去死吧"), ("wish", "zh", "希望你{早死|下地狱|不得好死|死掉}"), ("wish", "zh", "你怎么不去死"), ("wish", "zh", "你应该去跳楼"), ("wish", "zh", "祝你全家死掉"), ("wish", "zh", "快去上吊吧"),
+    ("harass", "zh", "给我看你的{BODY}"), ("harass", "zh", "把{BODY}发给我，{宝贝|美女|亲爱的}"), ("harass", "zh", "我想看你脱光"), ("harass", "zh", "让我摸你的{BODY}"), ("harass", "zh", "跟我上床，工作就是你的"), ("harass", "zh", "今晚来酒店，把衣服脱掉，{宝贝|美女}"),
+    ("sexual", "zh", "他亲她的胸，她呻吟着"), ("sexual", "zh", "他进入了她，她喘息着"), ("sexual", "zh", "他脱下她的内裤，在{床上|沙发|桌上}做爱"), ("sexual", "zh", "两人赤裸着缠绵到高潮"), ("sexual", "zh", "她骑在他身上呻吟"), ("sexual", "zh", "他的手伸进她的大腿之间抚摸"),
 ]
 
 HARMLESS = [
-    "Child process killed after # seconds, fork # aborted", "The test is garbage: it asserts that true is true", "Breast cancer screening data is used as a sample set for X, see the chart sheet", "What a stupid mistake of mine, I forgot to {reset|close|update} X", "I am such an idiot, I {forgot the reset|deleted the wrong branch}", "I was too dumb to read my own log",
-    "Kill the {zombie|orphan|hung} process first, then abort the child run and start X again", "Strip the whitespace before you compare the chart dump, otherwise X hits a naked pointer", "A naked exception without a cause is useless for X", "It hurts to read X, and it dies with a stack overflow on # items", "The assassin-bug fixture in class Essex# only exists to assess the assembler",
-    "The onboarding page greets foreigners, old people and the disabled in plain language", "I will smash this bug before lunch and burn down the rest of the backlog", "Women and immigrants in our team lead the chart review this year, congratulations", "The sex column of the chart sample is encoded as #, gender stays empty", "The word filter must reject these entries: idiot, asshole, bitch, nudes",
-    'of("idiot", "moron", "bastard", "tits")', "blocked = imbécil;gilipollas;connard;salaud", "Testdaten für den Wortfilter: Trottel, Drecksack, Penner", "Parasite capacitance of the probe has nothing to do with chart", "The bastard file name in fixture # is the name of a font hinting tool", "He kissed her on the cheek at the release party, and everybody laughed", "Do not execute the orphan hook while X is being torn down", "The filthy read in X is a dirty-bit problem, not a race",
-    "The hung worker was shot down by the watchdog, its blood-red alert is on the chart board", "She said the cargo deadline is Friday, he thinks Monday, and I side with her", "Damn, that was a hard one to find, thanks for the patience", "This code is {ugly|horrible|a mess|crap|terrible}, the class X should be rewritten", "The whole design of X is stupid, let us throw it out", "Branch coverage of X is zero because the class has no branches at all", "Foreign keys from chart to X are not enforced in the test database",
-    "I love how clean X looks now, thank you, you are wonderful", "Hugs to the whole team, see you at the party", "Thanks for nothing", "The slave replica lags # changes behind the master, what a disgusting network", "Execute, abort, terminate and kill are the verbs of the scheduler", "Women, immigrants, old people and the disabled are among the users of cargo", "My boss would kill me if this release slips again", "The patient's breast and genitals are described in the anatomy sample of X", "Sex education material is part of the test corpus",
-    "{The|Your|Our} {repair rule|nightly run|third reviewer|generated suite|proposal|smallest project|fixture for cargo|cargo check} {breaks|kills|beats|hits|shoots down|hides|exposes|duplicates|ignores|covers|slows down} {X|a hidden race|two old cases|all # parents|most of the survivors|every second generation|the dead code in X|the orphaned cargo rows|the timeout handling|the cargo branch of X}{|, which is ugly but harmless|, so I hate to merge it| - a pain to debug| and nobody noticed|, as far as I can tell| on slow disks| since release #}",
-    "{Every mutant of X|My last patch|A colleague from the cargo team|The crossover of V# and V#} {was merged before|depends on|fails together with|documents|should replace|rewrites} {X|the orphaned cargo rows|two old cases|the dead code in X|a hidden race}{|; see run #| when the cache is cold}",
-    "Could you explain why X needs a private constructor with # arguments?", "Looks good to me, only the cargo name in line # is misleading", "A dummy cargo is enough here; nobody needs the real store", "The cargo report is missing for generation #, so the fitness stays at its default", "The mutation replaced the expected value # by #, so the cargo case fails", "Generation # produced # offspring and only # of them compiled", "When the cargo is empty, X returns null instead of an empty list", "I tried it twice on my laptop and X behaved the same",
-    "Please add an assertion after X, otherwise the test checks nothing", "The compiler cannot find the symbol X in X", "We merged two suites by crossover and lost the cargo test on the way", "The garbage collector paused for # ms in X", "The answer of the model was cut off in the middle of X", "The cargo mock never answers, which makes X wait until the timeout", "The suite for X covers # percent of the lines, but X is still missing", "Line # of X is never reached; the guard throws before", "After the repair the coverage rose from # to #", "sent from the build room", "Just saying",
-    "You are right, the test was wrong, I will fix it", "You should run the suite again before the next sprint", "I will take you through the review after the standup", "I hope you get well before the release", "Show me the log of the failing test during the demo", "Send me the report and I will approve X", "I know where the bug lives, and next time it will not come back", "Nobody asked for X, remove it", "How does it feel to have shipped X?", "It must be hard to test this class without a mock",
+    ("technical", "en", "Your {ART} {DOES} {OBJ}"), ("technical", "en", "My {ART} {DOES} {OBJ}, which is ugly"), ("technical", "en", "The {ART} {DOES} {OBJ} and nobody knows why"), ("technical", "en", "Our {ART} {DOES} {OBJ}, please have a look"), ("technical", "en", "Your {ART} is {ugly|stupid|fine|useless|wrong}, it {DOES} {OBJ}"), ("technical", "en", "You {should|may|must|can} {kill|abort|replace|cut|drop|break} {OBJ} first"),
+    ("technical", "en", "{Kill|Drop|Strip|Cut|Abort} {OBJ} before you {run|merge|compare} it, otherwise it {DOES} {OBJ}"), ("technical", "en", "Every {ART} of yours {DOES} {OBJ} since the last release"), ("technical", "en", "I hate that the {ART} {DOES} {OBJ}"), ("technical", "en", "The {ART} was merged before {OBJ} {died|was removed|broke|hung}"), ("technical", "en", "The {ART} and the {ART} hang together and {OBJ} dies"),
+    ("technical", "en", "A {naked|bare} {exception|pointer|reference|loop|object} {hurts|helps} nobody in this code"), ("technical", "en", "the {listener|worker|pool|cache} should choke less and drop {OBJ}"), ("technical", "en", "{Running|Building|Killing|Dumping} the suite {again|at night|with a cold cache}"), ("technical", "en", "You are looking at the wrong line, {OBJ} is dead"),
+    ("technical", "de", "Dein {ART} {DOES} {OBJ}"), ("technical", "de", "Mein {ART} {DOES} {OBJ}, schau bitte nach"), ("technical", "de", "Der {ART} {DOES} {OBJ} seit gestern"), ("technical", "de", "Du solltest {OBJ} töten oder abbrechen"), ("technical", "de", "Euer {ART} {DOES} {OBJ}, das ist hässlich"),
+    ("technical", "es", "Tu {ART} {DOES} {OBJ}"), ("technical", "es", "Mi {ART} {DOES} {OBJ}, míralo por favor"), ("technical", "es", "La {ART} {DOES} {OBJ} desde ayer"), ("technical", "es", "Deberías matar {OBJ} primero"), ("technical", "es", "Tu {ART} es fea, {DOES} {OBJ}"),
+    ("technical", "fr", "Ta {ART} {DOES} {OBJ}"), ("technical", "fr", "Ma {ART} {DOES} {OBJ}, regarde"), ("technical", "fr", "La {ART} {DOES} {OBJ} depuis hier"), ("technical", "fr", "Tu devrais tuer {OBJ} d'abord"), ("technical", "fr", "Ta {ART} est moche, elle {DOES} {OBJ}"),
+    ("technical", "zh", "你的{ART}{DOES}{OBJ}"), ("technical", "zh", "我的{ART}{DOES}{OBJ}，请看一下"), ("technical", "zh", "这个{ART}{DOES}{OBJ}"), ("technical", "zh", "你应该先杀死{OBJ}"), ("technical", "zh", "你的{ART}太丑，{DOES}{OBJ}"),
+    ("mention", "en", "{GROUP}, {GROUP} and {GROUP} are among the {users|readers|visitors|authors} of this page"), ("mention", "en", "The text greets {GROUP}, {GROUP} and {GROUP} politely"), ("mention", "en", "{GROUP} and {GROUP} {lead|run|review} the {project|programme|test lab}, well done"),
+    ("mention", "de", "{GROUP} und {GROUP} lesen diese Seite"), ("mention", "es", "{GROUP} y {GROUP} usan esta página"), ("mention", "fr", "{GROUP} et {GROUP} lisent cette page"), ("mention", "zh", "{GROUP}和{GROUP}都使用这个页面"),
+    ("technical", "en", "{Kill|Abort|Terminate|Stop} the {zombie|orphan|hung|child|stale} process {before the run|and restart the server|after the timeout}"), ("technical", "en", "The {child|parent|master|slave|daemon} process {died|was killed|hangs|crashed} with exit code 1"), ("technical", "en", "The {bug|patch|loop|leak|race condition|test} {kills|breaks|hits|hurts|slows down|blows up} the {server|build|cache|worker|parser}"),
+    ("technical", "en", "We {execute|shoot down|strip|inject|dump} the {query|fork|symbols|mock|heap} and {abort|die|fail} on error"), ("technical", "en", "The {garbage collector|dirty bit|dead code|naked pointer|poison pill|dead letter queue|stupid default|dummy object} {is removed|is documented|fails the test|needs a fix}"), ("technical", "en", "Hit the breakpoint, cut the branch and smash the stack in the debugger"),
+    ("technical", "en", "The {breast|penis|vagina|sex|skin} {cancer data set|column|sample|field} is used in the {statistics test|medical fixture|schema}"), ("technical", "en", "The sex field of the patient table is null for {ten|some|most} rows"), ("technical", "en", "The function returns null when the {child|parent|head|body|arm|leg} node is dead"), ("technical", "en", "Please attach the log, your patch breaks the build on my machine"),
+    ("technical", "en", "You should rename your class, then the test runs"), ("technical", "en", "I will cut the release tonight and burn the old images"), ("technical", "en", "You are right, the test fails again when I run it twice"), ("technical", "en", "I hope you find the bug before the next release"), ("technical", "en", "Send me the log of your build and I will look at it tonight"), ("technical", "en", "I know where the {leak|bug|error} lives, next time we catch it in the test"),
+    ("technical", "en", "The author of the patch should add a test for the {null|error|timeout} case"), ("technical", "en", "Nobody uses this method, remove it"), ("technical", "en", "The {parser|compiler|worker|cache|queue|driver|module} {reads|writes|returns|rejects|covers|ignores} {the line|the field|an empty list|the old file|two cases|the wrong value}"), ("technical", "en", "Coverage rose from ten to twenty percent after the {repair|mutation|merge|rewrite}"), ("technical", "en", "Every mutant was killed by the new {suite|test}"),
+    ("technical", "en", "The test suite beats the old one and survives the next generation"), ("technical", "en", "The {first|second|last} reviewer asked for a shorter {name|method|class}"), ("technical", "en", "Show me the stack trace and the input of the failing test"), ("technical", "en", "I would pay for a faster build"), ("technical", "en", "Could you explain why this {class|method|test} needs a mock?"), ("technical", "en", "You can run it from your home directory, the path is in the config"), ("technical", "en", "We should never hire out this work to the scheduler, the queue is locked"), ("technical", "en", "the master drops dead connections and the slave follows"),
+    ("technical", "en", "The {assassin bug|cockroach|rat|monkey|donkey|bitch|cock|tit} is a fixture of the animal classes"), ("technical", "en", "your parser dies on long lines, mine hangs"), ("technical", "en", "The body of the method is empty and its head has no arguments"), 
+    ("technical", "en", "a {lazy|dirty|dumb|weak|fat|ugly|filthy|rotten} {cache|pointer|flag|client|binary|page|read|write|iterator} {is fine|needs a test|is slow|was removed}"), ("technical", "en", "Checks the method with a {lazy|dirty|dumb|stupid|rotten} {value|row|key}, see the ticket"),
+    ("nice", "en", "your {father|sister|family|daughter} can be proud of you"), ("nice", "en", "I hope you {feel better|enjoy the holidays|sleep well|have a safe trip home}"), ("nice", "en", "Get some rest, I hope you are well again soon"), ("nice", "en", "Love your work, thanks a lot"), ("mention", "en", "This leaflet helps {GROUP} and their families"), ("mention", "en", "We hire {GROUP} too and are happy to have them"), ("technical", "en", "I hope you {find|fix|catch} the {leak|error|regression} soon"), ("technical", "en", "You are right, it fails {again|twice|here too} when I run it"), ("technical", "en", "You can {start|run|build} it at home, the path is in the settings"), ("technical", "en", "you will find the {key|path|setting} in the readme"), ("own", "en", "I almost died laughing when I saw my own code"), ("own", "en", "I was dead tired and typed the wrong name"),
+    ("list", "de", "{INSULT}; {INSULT}; {INSULT}; {BODY}"), ("list", "fr", "{INSULT}; {INSULT}; {BODY}"), ("list", "es", "{INSULT}, {INSULT}, {BODY}"), ("code", "es", "El código es feo y estúpido, hay que reescribirlo"), ("talk", "en", "Dinner is at eight at the hotel, see you tonight"), ("talk", "en", "I wait outside the house, the car is in the street"), ("talk", "en", "the door of the house is open, come in"), ("talk", "de", "Sie stellte ihm das Bett und den Tisch in die Wohnung"),
+    ("technical", "en", "The {reviewer|developer|tester|author|maintainer} {DOES} {OBJ}, which is {ugly|stupid|fine|useless}"), ("technical", "en", "The {reviewer|developer|tester|author} {wrote|reviewed|merged} {OBJ} and it is {fine|slow|ugly}"), ("technical", "en", "note by the {author|reviewer|developer}: the {ART} {DOES} {OBJ}"), ("technical", "en", "note of the author: the {bastard|filthy|dirty|bitch} {file|read|flag|font} is {a known hack|documented|a term of art}"),
+    ("technical", "en", "Their {reviewer|manager|tester} says that the {ART} {DOES} {OBJ}"), ("talk", "en", "she writes the guide while he tests her code"), ("talk", "en", "He left his bag at her place and she brought it to him"), ("talk", "en", "she called him back and he helped her with it"), ("talk", "en", "he thinks so, she does not, and I agree with her"),
+    ("talk", "en", "He asked her to {look at|read|sign} it and she agreed"), ("talk", "en", "She told him that the meeting is {tomorrow|late|over}"), ("talk", "en", "They say it works for them, he is not sure and she will ask"), ("talk", "en", "her father works in the other office"), ("talk", "en", "We met at the door and went home late at night"), ("talk", "en", "My {uncle|aunt|wife|brother} cannot read this {form|letter}, the font is too small"), ("talk", "en", "See you tonight at the hotel bar, dinner is at eight"), ("talk", "en", "I sleep well when the alerts are off"), ("talk", "en", "You will find the address on the door of the house"), ("talk", "en", "Wait for me outside, I park the car"), ("talk", "en", "We moved the desk, the bed and the sofa to the new flat"), ("talk", "en", "The folder is cleaned every night, never keep your files there"), ("talk", "en", "nobody noticed and nobody asked"), ("talk", "en", "The old people's home next door got a new kitchen"), ("talk", "en", "we lost the game but kept the ball"),
+    ("talk", "de", "Sie sagte ihm, dass er morgen kommt"), ("talk", "de", "Er fragte sie nach dem Bett und dem Tisch für die neue Wohnung"), ("talk", "de", "Wir gehen heute Abend nach Hause"), ("talk", "es", "Ella le dijo que él llega mañana"), ("talk", "es", "Compramos una mesa y una cama para la casa"), ("talk", "es", "Esta noche cenamos en casa"), ("talk", "fr", "Elle lui a dit qu'il arrive demain"), ("talk", "fr", "Nous avons acheté une table et un lit pour la maison"), ("talk", "fr", "Ce soir nous mangeons à la maison"), ("talk", "zh", "她告诉他明天开会"), ("talk", "zh", "我们给新家买了床和沙发"), ("talk", "zh", "今晚在家吃饭"),
+    ("code", "en", "This code is {ugly|stupid|horrible|crap|a mess|terrible|garbage|disgusting}"), ("code", "en", "What a {stupid|dumb|useless|pathetic|ugly} {test|design|name|hack|error message|bug}"), ("code", "en", "The {design|naming|build script|test} is {shit|garbage|rotten|brainless|a disaster}, let us rewrite it"), ("code", "en", "I hate this {framework|compiler|bug|test|build}"), ("code", "en", "this damn test fails again"), ("code", "en", "worst error message I have ever seen, useless"), ("code", "en", "fucking compiler, it took me all night"), ("code", "en", "The class is a filthy hack and should die"),
+    ("own", "en", "I am {such an idiot|so stupid|a fool|an idiot|too dumb}, I {forgot the flag|deleted the wrong file|broke the build|missed it}"), ("own", "en", "Stupid me, it was my own mistake"), ("own", "en", "my bad, what a dumb mistake of mine"), ("own", "en", "I feel like a moron, I merged the wrong branch"), ("own", "en", "My boss will kill me if I break the build again"), ("own", "en", "I could kick myself for that typo"), ("own", "en", "I nearly died laughing at my own test"),
+    ("mention", "en", "{GROUP} {use|test|maintain|translate} this tool in many countries"), ("mention", "en", "The page must be accessible for {GROUP}"), ("mention", "en", "{GROUP} in our team lead the project this year, congratulations"), ("mention", "en", "The survey counts how many {GROUP} live in each city"), ("mention", "en", "We welcome {GROUP} and hire people from every country"), ("mention", "en", "This guide is written for {GROUP} and their families"), ("mention", "en", "a talk about {GROUP} in engineering"), ("mention", "en", "A study about {GROUP} in the industry"),
+    ("nice", "en", "I love {your patch|this idea|how clean it is}, thank you"), ("nice", "en", "Hugs and kisses to the whole team"), ("nice", "en", "She kissed him on the cheek at the party"), ("nice", "en", "You are wonderful, great work"), ("nice", "en", "He hugged her and they danced at the wedding"), ("nice", "en", "Get well soon, I hope you feel better tomorrow"), ("nice", "en", "your mother must be proud of you"), ("nice", "en", "Thank you, you saved my life, honey badger of the team"), ("nice", "en", "Good night and sleep well"),
+    ("list", "en", "The filter must block these words: {INSULT}, {INSULT}, {INSULT}"), ("list", "en", "blocked words = {INSULT}, {BODY}, {INSULT}"), ("list", "en", "word list for the filter: {INSULT} {INSULT} {BODY}"), ("list", "en", "assert filter rejects \"{INSULT}\" and \"{INSULT}\""), ("list", "en", "{INSULT}, {INSULT}, {INSULT}, {BODY}"), ("list", "en", "List of banned terms: {INSULT}; {INSULT}; {INSULT}"), ("list", "en", "the entry {INSULT} is missing in the swear word list"),
     # de
-    "Die Mutter aller Fehler steckt in Zeile #", "Die Reihenfolge in cargo muss stabil bleiben, sonst flackert der Test", "Der Bericht zu cargo fehlt, deshalb bleibt die Fitness beim Startwert", "Frauen und Ausländer im Team leiten dieses Jahr die Durchsicht von cargo", "Dieser Code ist grauenhaft, die Klasse X sollte man neu schreiben", "So ein dummer Fehler von mir, ich habe X nicht zurückgesetzt", "Ich Idiot habe den falschen Zweig gelöscht", "Das Ungeziefer in X ist gefunden: ein Fehler in cargo", "Erst den Zombieprozess töten, dann den Kindprozess abbrechen", "Danke für die schnelle Durchsicht, der Vorschlag zu cargo ist übernommen", "Bitte ergänze nach X eine Prüfung, sonst sagt der Test nichts aus",
-    "{Die Reparaturregel|Der Nachtlauf|Mein letzter Patch|Dein Vorschlag|Jeder Mutant von X|Die Prüfung von cargo} {tötet|bricht|ersetzt|ignoriert|verdoppelt|überdeckt|verlangsamt} {die Klasse X|zwei alte Fälle|toten Code in cargo|den Zweig X|jede zweite Generation}{|, siehe Lauf #|, soweit ich sehe| bei kaltem Cache| seit Ausgabe #}", "Die Attrappe für cargo reicht völlig aus", "Warum braucht X einen privaten Konstruktor mit # Argumenten?", "Der Lauf der Generation # brachte # Nachkommen, davon liefen #", "Das Modell hat die Antwort mitten in X abgeschnitten", "Nach der Reparatur stieg die Abdeckung von # auf #",
+    ("technical", "de", "Der {Kindprozess|Zombieprozess|Server|Test|Lauf} {stirbt|hängt|bricht ab|wurde getötet}"), ("technical", "de", "Der Patch {bricht|schlägt|tötet|zerstört} den Lauf der Prüfung"), ("technical", "de", "Die Methode liefert null, wenn das Feld leer ist"), ("technical", "de", "Der Fehler steckt in der Zeile nach dem toten Zweig"), ("technical", "de", "Du solltest deine Klasse umbenennen, dann läuft der Test"), ("technical", "de", "Schick mir bitte das Protokoll von deinem Lauf"), ("technical", "de", "Ich weiß, wo der Fehler wohnt, nächstes Mal fangen wir ihn"), ("technical", "de", "Der Bericht fehlt, deshalb bleibt der Wert beim Alten"), ("technical", "de", "Die {Abdeckung|Ausgabe|Spalte|Reihenfolge} ist nach der Reparatur {besser|gleich|stabil}"), ("technical", "de", "Warum braucht die Klasse einen privaten Konstruktor?"), ("technical", "de", "Wer das geändert hat, sollte einen Test ergänzen"), 
+    ("code", "de", "Dieser Code ist {grauenhaft|dumm|hässlich|Müll|scheiße}"), ("code", "de", "So ein {blöder|dummer} {Fehler|Test|Name}"), ("code", "de", "Ich hasse diesen Übersetzer"), ("own", "de", "Ich {Idiot|Trottel|Depp} habe {die falsche Datei gelöscht|den Schalter vergessen}"), ("own", "de", "So ein dummer Fehler von mir, tut mir leid"), ("mention", "de", "{GROUP} im Team leiten dieses Jahr das Projekt"), ("mention", "de", "Die Seite muss für {GROUP} zugänglich sein"), ("mention", "de", "Die Umfrage zählt {GROUP} je Stadt"), ("nice", "de", "Danke für deine Hilfe, toll gemacht"), ("nice", "de", "Liebe Grüße und Küsse an alle"), ("list", "de", "Wörter für den Filter: {INSULT}, {INSULT}, {INSULT}"), ("list", "de", "{INSULT}, {INSULT}, {INSULT}"),
     # es
-    "Las mujeres y los extranjeros del equipo dirigen la revisión de cargo", "Primero mata el proceso zombi y luego aborta el hijo", "El esclavo de réplica va # cambios por detrás, qué asco de red", "Gracias por la revisión, he cambiado el nombre de cargo", "Qué error tan tonto el mío, olvidé reiniciar X", "Este código es horrible, habría que reescribir X", "El compilador no encuentra el símbolo X en X", "La cucaracha de X ya está encontrada: un fallo en cargo", "El informe de cargo falta, se mantiene el valor inicial", "¿Por qué X tiene un constructor privado con # argumentos?",
-    "{La regla de reparación|La ejecución nocturna|Mi último parche|Tu propuesta|Cada mutante de X|La prueba de cargo} {mata|rompe|reemplaza|ignora|duplica|cubre|frena} {la clase X|dos casos viejos|el código muerto de cargo|la rama X}{|, mira la ejecución #|, según veo| desde la versión #}", "Después de la reparación la cobertura subió de # a #",
+    ("technical", "es", "El proceso {hijo|zombi|padre} {murió|fue matado|se cuelga}"), ("technical", "es", "El parche rompe la ejecución de la prueba"), ("technical", "es", "Mata el proceso y vuelve a ejecutar la prueba"), ("technical", "es", "El método devuelve null si la lista está vacía"), ("technical", "es", "El error está en la línea siguiente"), ("technical", "es", "Deberías cambiar el nombre de tu clase"), ("technical", "es", "Mándame el registro de tu ejecución, por favor"), ("technical", "es", "Sé dónde está el error, la próxima vez lo veremos"), ("technical", "es", "La cobertura subió después de la reparación"), ("technical", "es", "¿Por qué la clase tiene un constructor privado?"), ("technical", "es", "Quien cambió esto debería añadir una prueba"), ("technical", "es", "el código muerto de la rama vieja no molesta"), ("technical", "es", "La salida de la prueba es {igual|estable|distinta}"),
+    ("code", "es", "Este código es {horrible|basura|feo|una mierda|estúpido}"), ("code", "es", "Qué error más {tonto|estúpido|feo}"), ("code", "es", "Odio este compilador"), ("own", "es", "Soy {idiota|tonto|imbécil}, {olvidé el archivo|borré la rama}"), ("own", "es", "Qué tonto soy, fue culpa mía"), ("mention", "es", "{GROUP} del equipo dirigen el proyecto este año"), ("mention", "es", "La página debe ser accesible para {GROUP}"), ("mention", "es", "La encuesta cuenta a {GROUP} de cada ciudad"), ("nice", "es", "Gracias por tu ayuda, eres genial"), ("nice", "es", "Besos y abrazos para todos"), ("list", "es", "palabras del filtro: {INSULT}, {INSULT}, {INSULT}"), ("list", "es", "{INSULT}; {INSULT}; {INSULT}"),
     # fr
-    "Les femmes et les étrangers de l'équipe mènent la relecture de cargo", "Il faut tuer le processus zombie puis interrompre le fils", "La vermine de X est trouvée : une erreur dans cargo", "Quelle erreur bête de ma part, j'ai oublié de réinitialiser X", "Ce code est affreux, il faudrait récrire X", "Merci pour la relecture, le nom de cargo est corrigé", "L'ordre de cargo doit rester stable, sinon le test vacille", "Le rapport sur cargo est absent, la valeur initiale reste en place", "Pourquoi X a-t-elle un constructeur privé à # arguments ?", "Le compilateur ne trouve pas le symbole X dans X",
-    "{La règle de réparation|L'exécution de nuit|Mon dernier correctif|Ta proposition|Chaque mutant de X|Le contrôle de cargo} {tue|casse|remplace|ignore|double|couvre|ralentit} {la classe X|deux vieux cas|le code mort de cargo|la branche X}{|, voir l'exécution #|, à ce que je vois| depuis la version #}", "Après la réparation, la couverture est passée de # à #",
+    ("technical", "fr", "Le processus {fils|zombie|parent} {est mort|a été tué|se bloque}"), ("technical", "fr", "Le correctif casse l'exécution de l'essai"), ("technical", "fr", "Tue le processus puis relance le test"), ("technical", "fr", "La méthode renvoie null si la liste est vide"), ("technical", "fr", "L'erreur se trouve à la ligne suivante"), ("technical", "fr", "Tu devrais renommer ta classe"), ("technical", "fr", "Envoie-moi le journal de ton exécution, merci"), ("technical", "fr", "Je sais où est l'erreur, la prochaine fois on la trouve"), ("technical", "fr", "La couverture a monté après la réparation"), ("technical", "fr", "Pourquoi la classe a-t-elle un constructeur privé ?"), ("technical", "fr", "Celui qui a changé cela devrait ajouter un test"), ("technical", "fr", "le code mort de la vieille branche ne gêne pas"), ("technical", "fr", "La sortie de l'essai est {égale|stable|différente}"),
+    ("code", "fr", "Ce code est {affreux|moche|de la merde|stupide|pourri}"), ("code", "fr", "Quelle erreur {bête|stupide}"), ("code", "fr", "Je déteste ce compilateur"), ("own", "fr", "Je suis {bête|idiot|un imbécile}, j'ai {oublié le fichier|supprimé la branche}"), ("own", "fr", "Quel idiot je suis, c'est ma faute"), ("mention", "fr", "{GROUP} de l'équipe dirigent le projet cette année"), ("mention", "fr", "La page doit être accessible pour {GROUP}"), ("mention", "fr", "L'enquête compte {GROUP} de chaque ville"), ("nice", "fr", "Merci pour ton aide, tu es super"), ("nice", "fr", "Bises à toute l'équipe"), ("list", "fr", "mots du filtre : {INSULT}, {INSULT}, {INSULT}"), ("list", "fr", "{INSULT}, {INSULT}, {INSULT}"),
     # zh
-    "我真笨，忘了重置 X", "团队里的女人和外地人今年负责 cargo 的评审", "先杀死僵尸进程，再终止子进程", "这段代码太糟糕了，X 应该重写", "垃圾回收器在 X 里停了 # 毫秒", "谢谢审阅，cargo 的命名已经改好了", "编译器在 X 里找不到符号 X", "为什么 X 需要带 # 个参数的私有构造函数？", "请在 X 之后加一个断言，否则这个测试什么都没检查", "模型的回答在 X 中间被截断了", "cargo 的报告缺失，所以适应度保持默认值", "还有，修一下 X", "第 # 代产生了 # 个后代，只有 # 个能编译", "X 的测试套件覆盖了 #% 的行，但 X 还没有测到", "修复之后覆盖率从 # 升到 #",
-    "{修复规则|夜间运行|我上一个补丁|你的建议|X 的每个变异体|cargo 的检查} {杀死了|破坏了|替换了|忽略了|重复了|覆盖了|拖慢了} {X 类|两个旧用例|cargo 里的死代码|X 分支}{|，见运行 #|，据我所知|，从第 # 版开始}",
+    ("technical", "zh", "子进程{死了|被杀死|挂起}"), ("technical", "zh", "先杀死僵尸进程，再重新运行测试"), ("technical", "zh", "补丁破坏了测试的运行"), ("technical", "zh", "列表为空时方法返回 null"), ("technical", "zh", "错误在下一行"), ("technical", "zh", "你应该给你的类改名"), ("technical", "zh", "请把你的日志发给我"), ("technical", "zh", "我知道错误在哪，下次测试能找到"), ("technical", "zh", "修复之后覆盖率提高了"), ("technical", "zh", "为什么这个类需要私有构造函数"), ("technical", "zh", "改这里的人应该加一个测试"), ("technical", "zh", "旧分支里的死代码没有影响"), ("technical", "zh", "测试的输出{相同|稳定|不同}"),
+    ("code", "zh", "这段代码太{糟糕|愚蠢|垃圾|丑陋}了"), ("code", "zh", "这个{设计|名字|测试}真{蠢|烂}"), ("code", "zh", "我讨厌这个编译器"), ("own", "zh", "我真{笨|蠢|傻}，忘了{重置|保存}"), ("own", "zh", "我是个白痴，删错了文件，抱歉"), ("mention", "zh", "团队里的{GROUP}今年负责这个项目"), ("mention", "zh", "页面要方便{GROUP}使用"), ("mention", "zh", "调查统计了各地的{GROUP}"), ("nice", "zh", "谢谢你的帮助，很好"), ("nice", "zh", "喜欢你的想法，辛苦了"), ("list", "zh", "过滤词表：{INSULT}、{INSULT}、{INSULT}"), ("list", "zh", "{INSULT}、{INSULT}、{INSULT}"),
 ]
 
+Template = tuple[str, str, str]
+
 
-def expanded(template: str, most: int) -> list[str]:
-    """At most ``most`` sentences of a template; each alternative comes up before any combination is repeated."""
-    groups = re.findall(r"\{([^{}]*)\}", template)
-    if not groups:
-        return [template]
-    choices = [g.split("|") for g in groups]
-    r, out = random.Random(template), []
+def expanded(template: Template, most: int) -> list[str]:
+    """At most ``most`` sentences of a template; each alternative comes up before any is repeated."""
+    _, language, text = template
+    for name, words in LISTS[language].items():
+        text = text.replace("{" + name + "}", "{" + words + "}").replace(f" {name}|", " " + words.split("|")[0] + "|")
+    choices = [g.split("|") for g in re.findall(r"\{([^{}]*)\}", text)]
+    if not choices:
+        return [text]
+    r, out = random.Random(text), []
     wheels = [r.sample(c, len(c)) for c in choices]
-    for i in range(max(most, max(map(len, choices)))):
+    for i in range(most):
         for w in wheels:
             if i and i % len(w) == 0:
                 r.shuffle(w)
         picked = iter([w[i % len(w)] for w in wheels])
-        out.append(re.sub(r"\s+", " ", re.sub(r"\{[^{}]*\}", lambda _: next(picked), template)).strip())
+        out.append(re.sub(r"\s+", " ", re.sub(r"\{[^{}]*\}", lambda _: next(picked), text)).strip())
     return list(dict.fromkeys(out))
 
 
-def labelled(most: int = 14) -> tuple[list[str], list[int]]:
+def labelled(most: int = 8, harmless: int = 24, without: Template | None = None) -> tuple[list[str], list[int]]:
+    """(sentences, labels), at most ``most`` of each harmful template and ``harmless`` of the fewer others; ``without`` leaves one template out."""
     texts, labels = [], []
     for label, templates in ((1, HARMFUL), (0, HARMLESS)):
         for t in templates:
-            for s in expanded(t, most):
-                texts.append(s)
-                labels.append(label)
+            if t != without:
+                made = expanded(t, most if label else harmless)
+                texts += made
+                labels += [label] * len(made)
     return texts, labels

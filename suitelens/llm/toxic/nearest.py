@@ -1,14 +1,14 @@
 """Scores of documents by their nearest labelled sentences, found exactly through block-max inverted lists.
 
 Sentences are vectors of TF-IDF weights of length 1; document frequencies are counted over all documents. The labelled
-sentences lie in blocks; for each term a list has its blocks with the largest weight in each. A query adds these up to
-the most that any sentence of a block can reach, visits blocks from the highest on, and stops when no further one can
-bring a neighbour nearer than those it has.
+sentences lie in blocks; for each term a list has its blocks with the largest weight in each. A sentence adds these up to
+the most that any example of a block can reach. Those that can't come near a harmful one score 0; the others visit blocks
+from the highest on, and stop when no further one can bring a neighbour nearer than those they have. All of it works on
+whole batches of sentences at once.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,44 +18,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suitelens.llm.toxic.examples import labelled
-from suitelens.llm.toxic.features import BITS, bucket, features, sentences
+from suitelens.llm.toxic.features import TAG, TERMS, Terms, Vocabulary, sentence_text
 from suitelens.operators.spread import spread
 
-BLOCK, NEIGHBOURS, FLOOR = 64, 6, 0.25
+#: Examples a block; neighbours that vote; the least cosine of a neighbour; what terms of sense weigh more than words.
+BLOCK, NEIGHBOURS, FLOOR, SENSE = 64, 6, 0.25, 2.0
+#: Texts that are looked at together.
+BATCH = 512
+
+
+@lru_cache(maxsize=1)
+def _vocabulary() -> Vocabulary:
+    """One for each Python worker, which serves all of its tasks."""
+    return Vocabulary()
 
 
 def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """In how many documents each of 2^BITS buckets of terms occurs, and how many documents have a text."""
+    """In how many documents each term occurs, and how many documents have a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, documents = np.zeros(1 << BITS, np.int64), 0
-        seen: dict[str, set[int]] = {}
+        total, documents, vocabulary = np.zeros(TERMS, np.int64), 0, _vocabulary()
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                if x:
-                    documents += 1
-                    terms: set[int] = set()
-                    for s in sentences(x):
-                        ids = seen.get(s)
-                        if ids is None:
-                            ids = {bucket(f) for f in features(s, False)}
-                            if len(seen) < 50_000:
-                                seen[s] = ids
-                        terms |= ids
-                    total[list(terms)] += 1
+            texts = [x for x in batch.column(0).to_pylist() if x]
+            documents += len(texts)
+            for i in range(0, len(texts), BATCH):
+                Terms(texts[i : i + BATCH], vocabulary).frequencies(total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], documents))], names=["term", "n"])
 
     rows = spread(df.select(text)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << BITS, np.int64)
+    out = np.zeros(TERMS, np.int64)
     real = rows[rows.term >= 0]
     out[real.term.to_numpy()] = real.n.to_numpy()
     return out, int(rows[rows.term < 0].n.sum())
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
-    """Terms that no document has weigh as much as those of one."""
-    return np.log((n + 2) / (np.maximum(df, 1) + 1)) + 0.05
+    """Terms that no document has weigh as much as those of one; terms of sense weigh ``SENSE`` times as much as words."""
+    out = np.log((n + 2) / (np.maximum(df, 1) + 1)) + 0.05
+    out[TAG:] *= SENSE
+    return out
+
+
+class Vectors:
+    """Sentences as sparse vectors of length 1: of sentence ``of[i]`` the term ``term[i]`` weighs ``weight[i]``."""
+
+    def __init__(self, terms: Terms, weights: np.ndarray):
+        raw = (1 + np.log(terms.count)) * weights[terms.term]
+        length = np.sqrt(np.bincount(terms.sentence, raw * raw, terms.sentences))
+        self.of, self.term = terms.sentence, terms.term
+        self.weight = raw / np.where(length > 0, length, 1)[self.of]
 
 
 class Index:
@@ -63,77 +75,99 @@ class Index:
         self.weights = weights
         order = sorted(range(len(texts)), key=lambda i: (-labels[i], i))  # harmful ones first: whole blocks of one kind
         harmful = sum(labels)
-        first = -(-harmful // BLOCK)
-        place = [k if k < harmful else first * BLOCK + k - harmful for k in range(len(order))]
-        self.blocks = first + -(-(len(order) - harmful) // BLOCK)
-        self.harmful_blocks = first
+        self.harmful_blocks = -(-harmful // BLOCK)
+        place = [k if k < harmful else self.harmful_blocks * BLOCK + k - harmful for k in range(len(order))]
+        self.blocks = self.harmful_blocks + -(-(len(order) - harmful) // BLOCK)
         self.labels = np.zeros(self.blocks * BLOCK)
         self.texts: list[str] = [""] * (self.blocks * BLOCK)
-        self.lists: dict[int, tuple[np.ndarray, dict[int, np.ndarray]]] = {}
         for i, at in zip(order, place):
-            self.labels[at] = labels[i]
-            self.texts[at] = texts[i]
-            for term, w in self.vector(texts[i], True):
-                top, dense = self.lists.setdefault(term, (np.zeros(self.blocks), {}))
-                b = at // BLOCK
-                if b not in dense:
-                    dense[b] = np.zeros(BLOCK)
-                dense[b][at % BLOCK] += w
-                top[b] = max(top[b], dense[b][at % BLOCK])
-
-    def vector(self, sentence: str, example: bool = False) -> list[tuple[int, float]]:
-        counts: dict[int, int] = {}
-        for f in features(sentence, example):
-            t = bucket(f)
-            counts[t] = counts.get(t, 0) + 1
-        raw = [(t, (1 + math.log(c)) * self.weights[t]) for t, c in counts.items()]
-        length = math.sqrt(sum(w * w for _, w in raw)) or 1.0
-        return [(t, w / length) for t, w in raw]
-
-    def neighbours(self, sentence: str, k: int = NEIGHBOURS, without: int = -1, floor: float = FLOOR) -> list[tuple[float, int]]:
-        """The ``k`` most similar labelled sentences of a cosine of ``floor`` or more, the nearest first.
-
-        None are looked for if no harmful one can reach the floor. ``without`` leaves out one, to score it by the others.
+            self.labels[at], self.texts[at] = labels[i], texts[i]
+        # One example is one vector, also where it has a full stop inside.
+        made = Terms([t or None for t in self.texts], Vocabulary())
+        made.sentence, made.sentences = made.document[made.sentence], len(self.texts)
+        v = Vectors(_merged(made), weights)
+        self.vectors = v
+        rows, row = np.unique(v.term, return_inverse=True)
+        self.row_of = np.full(TERMS, -1)
+        self.row_of[rows] = np.arange(len(rows))
+        cells, cell = np.unique(row * self.blocks + v.of // BLOCK, return_inverse=True)
+        self.dense = np.zeros((len(cells) + 1, BLOCK))  # the last one stands for blocks without the term
+        self.dense[cell, v.of % BLOCK] = v.weight
+        self.cell = np.full((len(rows), self.blocks), len(cells))
+        self.cell[cells // self.blocks, cells % self.blocks] = np.arange(len(cells))
+        self.top = np.zeros((len(rows), self.blocks))
+        self.top[cells // self.blocks, cells % self.blocks] = self.dense[:-1].max(1)
+        self.harmful_top = self.top[:, : self.harmful_blocks].max(1, initial=0.0)
+
+    def neighbours(self, vectors: Vectors, sentences: int, k: int = NEIGHBOURS, without: np.ndarray | None = None, floor: float = FLOOR):
+        """(scores, places) of the ``k`` most similar examples of each sentence, the nearest first; 0 and -1 where there are fewer.
+
+        Only those with a cosine of ``floor`` or more count, and none are looked for if no harmful one can reach it.
+        ``without`` names an example for each sentence that is left out, to score it by the others.
         """
-        lists = [(w, *self.lists[t]) for t, w in self.vector(sentence) if t in self.lists]
-        if not lists:
-            return []
-        most = sum(w * top for w, top, _ in lists)
-        if most[: self.harmful_blocks].max(initial=0.0) < floor:
-            return []
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-most, kind="stable"):
-            least = best[-1][0] if len(best) == k else floor
-            if most[b] < least:
+        scores, places = np.zeros((sentences, k)), np.full((sentences, k), -1)
+        row = self.row_of[vectors.term]
+        known = row >= 0
+        of, row, weight = vectors.of[known], row[known], vectors.weight[known]
+        # A bound over all harmful blocks first, then one for each block.
+        near = np.bincount(of, weight * self.harmful_top[row], sentences) >= floor
+        keep = near[of]
+        of, row, weight = of[keep], row[keep], weight[keep]
+        if not len(of):
+            return scores, places
+        new = np.concatenate([[True], of[1:] != of[:-1]])
+        starts, who = np.flatnonzero(new), of[new]
+        most = np.add.reduceat(weight[:, None] * self.top[row], starts)
+        keep = most[:, : self.harmful_blocks].max(1, initial=0.0) >= floor
+        sizes = np.diff(np.append(starts, len(of)))
+        starts, who, most, sizes = starts[keep], who[keep], most[keep], sizes[keep]
+        visits = np.argsort(-most, axis=1, kind="stable")
+        live = np.arange(len(who))
+        for turn in range(self.blocks):
+            block = visits[live, turn]
+            least = np.maximum(scores[who[live], -1], floor)
+            go = most[live, block] >= least
+            live, block, least = live[go], block[go], least[go]
+            if not len(live):
                 break
-            scores = np.zeros(BLOCK)
-            for w, _, dense in lists:
-                if b in dense:
-                    scores += w * dense[b]
-            for at in np.flatnonzero(scores >= least):
-                if b * BLOCK + at != without:
-                    best.append((float(scores[at]), int(b * BLOCK + at)))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
-
-    def vote(self, found: list[tuple[float, int]]) -> float:
+            n = sizes[live]
+            place = np.repeat(starts[live], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            got = np.add.reduceat(weight[place][:, None] * self.dense[self.cell[row[place], np.repeat(block, n)]], np.cumsum(n) - n)
+            ids = block[:, None] * BLOCK + np.arange(BLOCK)
+            if without is not None:
+                got[ids == without[who[live]][:, None]] = 0
+            got[got < floor] = 0
+            w = who[live]
+            both, at = np.concatenate([scores[w], got], 1), np.concatenate([places[w], np.where(got > 0, ids, -1)], 1)
+            best = np.lexsort((at, -both), axis=1)[:, :k]
+            scores[w], places[w] = np.take_along_axis(both, best, 1), np.take_along_axis(at, best, 1)
+        return scores, places
+
+    def votes(self, scores: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The share of harmful neighbours, each weighted by nearness; far ones leave room for doubt."""
-        total = sum(c**3 for c, _ in found)
-        return sum(c**3 * self.labels[i] for c, i in found) / (total + 0.03) if found else 0.0
+        c = scores**3
+        return (c * self.labels[places] * (places >= 0)).sum(1) / (c.sum(1) + 0.03)
+
+    def score(self, texts: list[str | None], vocabulary: Vocabulary) -> tuple[Terms, np.ndarray, np.ndarray]:
+        """(terms, votes, places of neighbours) of all sentences of some texts."""
+        terms = Terms(texts, vocabulary)
+        scores, places = self.neighbours(Vectors(terms, self.weights), terms.sentences)
+        return terms, self.votes(scores, places), places
+
 
-    def score(self, sentence: str) -> tuple[float, int]:
-        """(vote, the nearest harmful example or -1)."""
-        found = self.neighbours(sentence)
-        at = next((i for _, i in found if self.labels[i]), -1)
-        return self.vote(found), at
+def _merged(terms: Terms) -> Terms:
+    """Terms of several sentences that have become one, counted together."""
+    keys, inverse = np.unique(terms.sentence * TERMS + terms.term, return_inverse=True)
+    terms.count = np.bincount(inverse, terms.count).astype(np.int64)
+    terms.sentence, terms.term = keys // TERMS, keys % TERMS
+    return terms
 
 
 def calibrated(index: Index) -> tuple[float, float]:
     """(slope, offset) of the logistic curve from votes to chances, fitted on each example judged by the others."""
-    known = [i for i, t in enumerate(index.texts) if t]
-    x = np.array([index.vote(index.neighbours(index.texts[i], without=i)) for i in known])
-    y = np.array([index.labels[i] for i in known])
+    known = np.array([bool(t) for t in index.texts])
+    scores, places = index.neighbours(index.vectors, len(index.texts), without=np.arange(len(index.texts)))
+    x, y = index.votes(scores, places)[known], index.labels[known]
     slope, offset = 4.0, -2.0
     for _ in range(200):  # Newton steps, held back a little
         p = 1 / (1 + np.exp(-(slope * x + offset)))
@@ -147,44 +181,49 @@ def calibrated(index: Index) -> tuple[float, float]:
 
 @lru_cache(maxsize=1)
 def _built(weights: bytes) -> tuple[Index, float, float]:
+    """One for each Python worker and corpus."""
     index = Index(*labelled(), np.frombuffer(weights, np.float32).astype(float))
     return index, *calibrated(index)
 
 
-def harm_scores(df: DataFrame, id_column: str, text: str, keep: list[str] = ()) -> DataFrame:
+def harm_scores(df: DataFrame, id_column: str, text: str, keep: list[str] = (), evidence: bool = True) -> DataFrame:
     """(id, keep.., score, evidence, example): of each document, the score of its worst sentence.
 
-    ``score`` is the calibrated chance that a sentence is harmful, 0 for documents without text. ``evidence`` is that
-    sentence and ``example`` the labelled one nearest to it, null where nothing comes near. Whole texts are read.
+    ``score`` is the calibrated chance that a sentence is harmful, 0 for documents without text or where no example comes
+    near. ``evidence`` is that sentence (the first of equals), in its form without disguise of signs, and ``example`` the
+    nearest harmful labelled one; both null where nothing comes near, and left out altogether on request. Whole texts are
+    read, names of code and markup included as far as they say something to somebody.
     """
     counts, n = document_frequencies(df, text)
-    weights = idf(counts, n).astype(np.float32).tobytes()
-    shared = df.sparkSession.sparkContext.broadcast(weights)  # 2^BITS numbers, whatever the corpus
-    index, slope, offset = _built(weights)
-    names = [id_column, *keep, "score", "evidence", "example"]
-    chance = lambda v: 1 / (1 + math.exp(-(slope * v + offset)))
+    shared = df.sparkSession.sparkContext.broadcast(idf(counts, n).astype(np.float32).tobytes())  # TERMS numbers, whatever the corpus
+    names = [id_column, *keep, "score", *(("evidence", "example") if evidence else ())]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*labelled(), np.frombuffer(shared.value, np.float32).astype(float))
-        seen: dict[str, tuple[float, int]] = {}
+        (index, slope, offset), vocabulary = _built(shared.value), _vocabulary()
         for batch in batches:
-            scores, evidence, example = [], [], []
-            for x in batch.column(batch.num_columns - 1).to_pylist():
-                worst, said, at = 0.0, None, -1
-                for s in sentences(x) if x else []:
-                    hit = seen.get(s)
-                    if hit is None:
-                        hit = index.score(s)
-                        if len(seen) < 100_000:
-                            seen[s] = hit
-                    if hit[0] > worst:
-                        worst, said, at = hit[0], s, hit[1]
-                scores.append(round(chance(worst), 6) if worst > 0 else 0.0)
-                evidence.append(said)
-                example.append(index.texts[at] if at >= 0 else None)
-            columns = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, pa.string()), pa.array(example, pa.string())]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            scores, said, example = np.zeros(len(texts)), [None] * len(texts), [None] * len(texts)
+            for i in range(0, len(texts), BATCH):
+                part = texts[i : i + BATCH]
+                terms, votes, places = index.score(part, vocabulary)
+                hit = np.flatnonzero(votes > 0)
+                # The first of the worst sentences of each document.
+                hit = hit[np.lexsort((hit, -votes[hit], terms.document[hit]))]
+                of = terms.document[hit]
+                hit = hit[np.concatenate([[True], of[1:] != of[:-1]])] if len(hit) else hit
+                scores[i + terms.document[hit]] = np.round(1 / (1 + np.exp(-(slope * votes[hit] + offset))), 6)
+                if evidence:
+                    for s in hit:
+                        d = terms.document[s]
+                        said[i + d] = sentence_text(part[d], int(s - terms.first[d]))
+                        example[i + d] = next((index.texts[p] for p in places[s] if p >= 0 and index.labels[p]), None)
+            columns = [*batch.columns[:-1], pa.array(scores, pa.float64())]
+            if evidence:
+                columns += [pa.array(said, pa.string()), pa.array(example, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     known = spread(df.select(id_column, *keep, F.col(text).alias("_text")))
-    schema = known.drop("_text").schema.add("score", "double").add("evidence", "string").add("example", "string")
+    schema = known.drop("_text").schema.add("score", "double")
+    if evidence:
+        schema = schema.add("evidence", "string").add("example", "string")
     return known.mapInArrow(judge, schema)

@@ -1,87 +1,127 @@
-"""The block-max index finds the exact neighbours; held-out sentences and disguises are told apart."""
+"""The block-max index finds the exact neighbours; wordings left out and disguises are told apart."""
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from suitelens.llm.toxic.examples import HARMFUL, HARMLESS, expanded, labelled
-from suitelens.llm.toxic.features import BITS, features, plain, sentences
-from suitelens.llm.toxic.nearest import FLOOR, Index, calibrated, document_frequencies, harm_scores, idf
+from suitelens.llm.toxic.features import TAG, TERMS, Terms, Vocabulary, cleaned, sentence_text
+from suitelens.llm.toxic.nearest import FLOOR, Index, Vectors, _merged, calibrated, document_frequencies, harm_scores, idf
+
+WEIGHTS = np.where(np.arange(TERMS) < TAG, 1.0, 2.0)
 
 
 @pytest.fixture(scope="module")
 def index():
-    return Index(*labelled(), np.ones(1 << BITS))
+    return Index(*labelled(), WEIGHTS)
+
+
+def vectors(texts: list[str]) -> Vectors:
+    made = Terms(texts, Vocabulary())
+    made.sentence, made.sentences = made.document[made.sentence], len(texts)
+    return Vectors(_merged(made), WEIGHTS)
+
+
+def votes(index: Index, texts: list[str]) -> np.ndarray:
+    return index.votes(*index.neighbours(vectors(texts), len(texts)))
 
 
 def test_neighbours_are_those_of_brute_force(index):
-    known = [i for i, t in enumerate(index.texts) if t]
-    vectors = {i: dict(index.vector(index.texts[i], True)) for i in known}
     r = random.Random(3)
-    for i in r.sample(known, 60):
+    known = [i for i, t in enumerate(index.texts) if t]
+    queries = []
+    for i in r.sample(known, 80):
         words = index.texts[i].split()
         r.shuffle(words)
-        query = " ".join(words[: max(3, len(words) - 2)])
-        q = index.vector(query)
-        cosines = sorted(((sum(w * vectors[j].get(t, 0.0) for t, w in q), -j) for j in known), reverse=True)
-        want = [c for c, _ in cosines if c >= FLOOR][:6]
-        got = [c for c, _ in index.neighbours(query)]
-        if got or any(index.labels[-j] for c, j in cosines if c >= FLOOR):
-            assert np.allclose(got, want)
-
-
-def test_left_out_templates():
-    """Templates judged by an index made of all others."""
-    r = random.Random(5)
-    right = total = 0
+        queries.append(" ".join(words[: max(3, len(words) - 2)]))
+    dense = np.zeros((len(index.texts), TERMS), np.float32)
+    dense[index.vectors.of, index.vectors.term] = index.vectors.weight
+    q = vectors(queries)
+    scores, places = index.neighbours(q, len(queries))
+    for i in range(len(queries)):
+        mine = q.of == i
+        cosines = dense[:, q.term[mine]] @ q.weight[mine]
+        want = np.sort(cosines[cosines >= FLOOR])[::-1][:6]
+        if (cosines[index.labels > 0] >= FLOOR).any():
+            assert np.allclose(scores[i][places[i] >= 0], want, atol=1e-5)
+        elif (places[i] >= 0).any():
+            assert np.allclose(scores[i][places[i] >= 0], want, atol=1e-5)
+
+
+def test_left_out_wordings(index):
+    """Each template judged by an index made of all others, at the limit of the queries, told apart by label."""
+    slope, offset = calibrated(index)
+    r, right = random.Random(5), defaultdict(list)
     for label, templates in ((1, HARMFUL), (0, HARMLESS)):
-        for t in r.sample(templates, 25):
-            texts, labels = [], []
-            for y, ts in ((1, HARMFUL), (0, HARMLESS)):
-                for other in ts:
-                    if other != t:
-                        for s in expanded(other, 4):
-                            texts.append(s)
-                            labels.append(y)
-            ix = Index(texts, labels, np.ones(1 << BITS))
-            total += 1
-            right += (ix.score(expanded(t, 1)[0])[0] >= 0.25) == bool(label)
-    assert right >= 0.7 * total
-
-
-@pytest.mark.parametrize(
-    "text,harmful",
-    [
-        ("You are a worthless m-o-r-o-n.", True), ("Whoever approved fooBar is a useless j0ck0$$, now crawl back under your rock.", True), ("you are a filthy mоrоn", True),
-        ("Send me your n***s, sweetheart, and I will approve X.", True), ("闭嘴，你这个蠢 货，没人问你", True), ("Halt die Fresse, du Idiot.", True), ("Kill the zombie process first.", False),
-        ("What a stupid mistake of mine.", False), ("", False), ("ok", False), ("Women lead the review this year, congratulations.", False),
-    ],
-)
-def test_sentences(index, text, harmful):
+        for t in r.sample(templates, 60):
+            made = expanded(t, 8)
+            v = votes(Index(*labelled(without=t), WEIGHTS), made)
+            right[label].append(float(((slope * v + offset >= 0) == bool(label)).mean()))
+    assert np.mean(right[1]) > 0.85
+    assert np.mean(right[0]) > 0.85
+
+
+def test_single_sentences(index):
     slope, offset = calibrated(index)
-    vote = index.score(text)[0]
-    assert (vote > 0 and 1 / (1 + np.exp(-(slope * vote + offset))) >= 0.5) == harmful
+    harmful = ["The intern is a pathetic cretin.", "I'll snap your wrists", "Refugees are maggots, all of them", "go hang yourself", "Zeig mir deinen Busen, Süße", "Te voy a partir el cráneo", "Les immigrés sont des parasites", "你就是个废物"]
+    harmless = ["Kill the orphan worker before the build", "I am such a fool, I deleted the branch", "Refugees and old people use this page", "The parser rejects the null field", "Danke, toll gemacht", "El proceso hijo murió", "Le test échoue", "先杀死子进程"]
+    assert (slope * votes(index, harmful) + offset >= 0).all()
+    assert not (slope * votes(index, harmless) + offset >= 0).any()
+
+
+@pytest.mark.parametrize("text", ["you 1d10t", "you id​iot", "y o u  i d i o t", "you i.d.i.o.t.", "you i_d_i_o_t", "you idіоt", "you idiooooot", "you i***t", "YOU IDIOT!!!", "<p>you <b>idiot</b></p>", "&#121;ou idiot", "youIdiot = 1", "you_stupid_idiot()"])
+def test_disguises(index, text):
+    slope, offset = calibrated(index)
+    terms = Terms([text], Vocabulary())
+    v = index.votes(*index.neighbours(Vectors(terms, WEIGHTS), terms.sentences))
+    assert slope * v.max() + offset >= 0, text
+
+
+def test_cleaned():
+    assert cleaned("dÃ¼mmer") == "dümmer"
+    assert cleaned("蠢 货") == "蠢货"
+    assert cleaned("a &amp; b\0") == "a & b "
+
+
+def test_sentence_text():
+    text = "One here. Two, there!\nthree 。四。five"
+    terms = Terms([text, None, ""], Vocabulary())
+    assert [sentence_text(text, i) for i in range(5)][:2] == ["One here.", "Two, there!"]
+    assert terms.document.tolist() == sorted(terms.document.tolist()) and len(terms.first) == 3
+
+
+def test_batches_do_not_matter():
+    texts = ["You are an idiot. The test fails.", None, "", "a b c d", "I know where you live\nfine", "你就是个废物。好的", "x" * 100_000]
+    v = Vocabulary()
+    whole = Terms(texts, v)
+    alone = [Terms([t], Vocabulary()) for t in texts]
+    for d, one in enumerate(alone):
+        mine = whole.document[whole.sentence] == d
+        assert whole.term[mine].tolist() == one.term.tolist()
+        assert (whole.sentence[mine] - whole.first[d]).tolist() == one.sentence.tolist()
 
 
-def test_disguises_are_undone():
-    assert plain("m o r o n and i-d-i-o-t") == "moron and idiot"
-    assert plain("mо​rоn") == "moron" and "X" not in plain("mOrOn")
-    assert "sb_st_rd" in features("b0$t0rd", False) and "sb_st_rd" in features("bastaaard", False)
-    assert len(sentences("<p>One.</p> Two! 三。四")) == 4
+def test_no_names_of_the_tables():
+    texts = " ".join(labelled()[0]).lower()
+    for name in ("veltr", "ashen", "cargo", "维尔特拉"):
+        assert name not in texts
 
 
-def test_operator_cases(spark):
-    bad = "You are a worthless moron and your mother should be ashamed of you."
-    rows = [(1, None, "a"), (2, "", "b"), (3, bad, None), (3, bad, "again"), (4, "fine line\n" * 30000 + bad, "long"), (5, "x" * 300000, "c"), (None, "The test checks nothing.", "d")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    out = harm_scores(df, "doc_id", "text").collect()
-    assert sorted(r.doc_id for r in out if r.score >= 0.5) == [3, 3, 4] and len(out) == len(rows)
-    assert {r.score for r in out if r.doc_id in (1, 2)} == {0.0}
-    assert harm_scores(df.limit(0), "doc_id", "text").count() == 0
+def test_scores(spark):
+    rows = [(1, "a", None), (2, "a", ""), (3, "b", "You are a worthless idiot.\nThe test fails."), (4, None, "Thanks, the build is green."), (3, "b", "You are a worthless idiot.\nThe test fails."), (5, "c", "word " * 50_000 + ". Go and hang yourself. ok")]
+    df = spark.createDataFrame(rows, "id long, score string, text string")
+    out = {(r.id, r._score): r for r in harm_scores(df.withColumnRenamed("score", "_score"), "id", "text", ["_score"]).collect()}
+    assert out[1, "a"].score == out[2, "a"].score == 0 and out[1, "a"].evidence is None
+    assert out[3, "b"].score > 0.5 and out[3, "b"].evidence == "You are a worthless idiot."
+    assert out[5, "c"].score > 0.5 and out[5, "c"].evidence == "Go and hang yourself."
+    assert out[4, None].score < 0.5
+    empty = harm_scores(df.filter("id < 0"), "id", "text")
+    assert empty.columns == ["id", "score", "evidence", "example"] and empty.count() == 0
 
 
-def test_document_frequencies(spark):
-    df = spark.createDataFrame([("you and you",), ("you",), (None,), ("",)], "text string").repartition(3)
+def test_frequencies_count_documents(spark):
+    df = spark.createDataFrame([("alpha beta",), ("alpha alpha. alpha",), (None,), ("",)], "text string").repartition(3)
     counts, n = document_frequencies(df, "text")
-    assert n == 2 and counts.max() == 2 and idf(counts, n).min() > 0
+    assert n == 2 and counts.max() == 2 and (idf(counts, n) > 0).all()

@@ -8,6 +8,9 @@ over padded batches; use takes the best labelling by the Viterbi recursion.
 from __future__ import annotations
 
 import re
+from itertools import chain
+from operator import ne
+from string import ascii_lowercase, ascii_uppercase, digits
 from zlib import crc32
 
 import numpy as np
@@ -20,6 +23,9 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NEVER = -1e4
 
 
+_CLASSES = str.maketrans(ascii_lowercase + ascii_uppercase + digits + "_$-", "a" * 26 + "A" * 26 + "0" * 10 + "---")
+
+
 def shape(token: str) -> str:
     """What a token looks like: its classes of characters, how they alternate, and how long it is."""
     c = token[0]
@@ -31,15 +37,9 @@ def shape(token: str) -> str:
         return "0" + size
     if token[:2] == "0x":
         return "0x" + size
-    lower = upper = digit = turns = 0
-    last = ""
-    for c in token:
-        k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-"
-        lower += k == "a"
-        upper += k == "A"
-        digit += k == "0"
-        turns += k != last
-        last = k
+    classes = token.translate(_CLASSES)
+    lower, upper, digit = "a" in classes, "A" in classes, "0" in classes
+    turns = 1 + sum(map(ne, classes, classes[1:]))
     few = len(set(token.lower())) <= max(2, n // 6)
     if few and n > 3:
         return "same" + size
@@ -241,6 +241,7 @@ class Labeller:
         self.shapes: dict[str, tuple] = {}
         self.lines: dict[tuple[str, str], list[tuple[int, int]]] = {}
         self.remember = remember
+        self.batches: Batches | None = None
         (oo, ob, _), (bo, bb, bi), (io, ib, ii), (so, sb, _) = self.steps
         # A stretch of k tokens gains at most k times (its best score + this) over outside: if no token reaches that, none is labelled.
         self.hopeless = -max(max(ob - oo, sb - so) + max(bo - oo, io - oo, 0), max(bb, bi, ib, ii) - oo)
@@ -281,19 +282,31 @@ class Labeller:
         hit = cache[name, s] = (b + x, i + y)
         return hit
 
-    def remembered(self, text: str, field: str = "") -> list[tuple[int, int]]:
-        """``spans``, of which those of short lines are remembered without what is around them."""
-        if len(text) > 300:
-            return self.spans(text, field)
-        bare = text.lstrip(_BLANK)
-        skipped = len(text) - len(bare)
-        bare = bare.rstrip(_BLANK)
-        hit = self.lines.get((bare, field))
-        if hit is None:
-            if len(self.lines) > self.remember:
-                self.lines.clear()
-            hit = self.lines[bare, field] = self.spans(bare, field)
-        return [(a + skipped, b + skipped) for a, b in hit] if hit else hit
+    def many(self, lines: list[str], field: str = "") -> list[list[tuple[int, int]]]:
+        """``spans`` of each line; those of short ones are remembered, without what is around them."""
+        if self.batches is None:
+            self.batches = Batches(self)
+        if len(self.lines) > self.remember:
+            self.lines.clear()
+        bare = [x.strip(_BLANK) for x in lines]
+        new = list(dict.fromkeys(x for x in bare if (x, field) not in self.lines))
+        found: dict[str, list[tuple[int, int]]] = dict.fromkeys(new, [])
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            for u in self.batches.promising(part, field):
+                found[part[u]] = self.spans(part[u], field)
+        known = self.lines
+        out = []
+        for x, line in zip(bare, lines):
+            spans = found[x] if x in found else known[x, field]
+            if spans:
+                skipped = len(line) - len(line.lstrip(_BLANK))
+                spans = [(a + skipped, b + skipped) for a, b in spans]
+            out.append(spans)
+        for x in new:
+            if len(x) <= 300:
+                known[x, field] = found[x]
+        return out
 
     def spans(self, text: str, field: str = "") -> list[tuple[int, int]]:
         """The stretches of ``text`` to redact."""
@@ -346,6 +359,191 @@ class Labeller:
         return out
 
 
+# Kinds of tokens for what governs others.
+_OTHER, _WORD, _ASSIGNS, _DOUBLE, _SINGLE, _SLASH = range(6)
+_KEYS, _SHAPES = 1 << 22, 1 << 12
+#: Lines with more tokens are labelled one by one.
+_WIDE = 600
+
+
+class _Numbers(dict):
+    """Numbers of strings; a new one gets the next."""
+
+    def __init__(self, add=None):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, x: str) -> int:
+        n = self[x] = len(self)
+        if self.add:
+            self.add(x)
+        return n
+
+
+class _Made(dict):
+    """Scores by code; missing ones are made when asked for."""
+
+    make = None
+
+    def __missing__(self, code: int) -> tuple[float, float]:
+        hit = self[code] = self.make(code)
+        return hit
+
+
+class Batches:
+    """Which lines have a credential at all, for many lines at once: the best score of any labelling against that of outside only.
+
+    The same scores as in ``Labeller``, gathered for arrays of tokens; no line is left out.
+    """
+
+    def __init__(self, labeller: Labeller):
+        self.l = labeller
+        self._empty()
+
+    def _empty(self) -> None:
+        self.shapes, self.keys = _Numbers(), _Numbers()
+        self.rows: list[tuple] = []
+        self.made = [_Made() for _ in range(4)]
+        self.known = _Numbers(self._add)
+        self.known["^"]  # 0 stands around each line
+        self.known[""]
+        self._flat = (0,)
+
+    def _add(self, token: str) -> None:
+        t = _CURLY.get(token, token)
+        if not t:
+            self.rows.append((0, 0, _OTHER, 0, 0.0, 0.0, 0.0, 0.0))
+            return
+        s, key, (b, i), (x, y) = self.l.shapes.get(t) or self.l._seen(t)
+        kind = (
+            _SLASH if t == "\\" else _DOUBLE if t == '"' else _SINGLE if t == "'" else _ASSIGNS if t in _NAMING else _WORD if t[0].isalpha() or t[0] == "_" else _OTHER
+        )
+        self.rows.append((self.shapes[s], self.keys["^" if not self.rows else key], kind, t.lower() == "value", b, i, x, y))
+
+    def _arrays(self) -> tuple:
+        if self._flat[0] != len(self.rows):
+            table = np.array(self.rows[self._flat[0] :])
+            if self._flat[0]:
+                table = np.concatenate([self._flat[1], table])
+            self._flat = (len(table), table)
+        return self._flat[1]
+
+    def _scores(self, which: int, codes: np.ndarray, made) -> np.ndarray:
+        """(begin, inside) for each code; ``made`` gives those of one code."""
+        cache = self.made[which]
+        cache.make = made
+        kinds, at = np.unique(codes, return_inverse=True)
+        pairs = np.fromiter(chain.from_iterable(map(cache.__getitem__, kinds.tolist())), float, 2 * len(kinds))
+        return pairs.reshape(-1, 2)[at]
+
+    def promising(self, lines: list[str], field: str = "") -> list[int]:
+        """The numbers of the lines whose best labelling is not outside only."""
+        if len(self.rows) > self.l.remember or max(map(len, self.made)) > 4 * self.l.remember:
+            self._empty()
+        known = self.known
+        lists = [list(map(known.__getitem__, TOKEN.findall(x))) for x in lines]
+        wide = [u for u, x in enumerate(lists) if len(x) > _WIDE]
+        units = [u for u, x in enumerate(lists) if 0 < len(x) <= _WIDE]
+        if not units:
+            return wide
+        units.sort(key=lambda u: -len(lists[u]))
+        sizes = np.array([len(lists[u]) for u in units])
+        named, none = known[field], known[""]
+        # Lines side by side, with two marks around each.
+        start = np.cumsum(sizes) - sizes + 2 * np.arange(1, len(units) + 1)
+        tokens = np.zeros(int(sizes.sum()) + 2 * len(units) + 2, np.int64)
+        of = np.repeat(np.arange(len(units)), sizes)
+        at = np.arange(len(of)) + 2 * (of + 1)
+        tokens[at] = np.fromiter(chain.from_iterable([lists[u] for u in units]), np.int64, len(of))
+        hard = [k for k, u in enumerate(units) if "\\" in lines[u] or ("://" in lines[u]) or (_quotes(lines[u]))]
+        states = [Line(lines[units[k]], field) for k in hard]
+        pairs = [[(known[a], known[b]) for a, b in x.names] for x in states]
+        table = self._arrays()
+        shape, key, kind, value = (table[:, c].astype(np.int64) for c in range(4))
+        kinds = kind[tokens]
+        # In quotes: an odd number of them before, in the line.
+        marks = np.cumsum((kinds == _DOUBLE) | (kinds == _SINGLE))
+        quoted = ((marks[at - 1] - marks[start - 1][of]) & 1).astype(bool)
+        first, second = self._governing(tokens, kinds, value, quoted, at, of, start, named, none)
+        for k, x, p in zip(hard, states, pairs):
+            a, n = start[k] - 2 * (k + 1), sizes[k]
+            quoted[a : a + n] = x.quoted
+            first[a : a + n], second[a : a + n] = [f for f, _ in p], [s for _, s in p]
+        s, ks = shape[tokens[at]], key[tokens]
+        key_names, shape_names, names = list(self.keys), list(self.shapes), list(known)
+
+        l = self.l
+
+        def near(cache: dict, side: str):
+            def of_code(c: int) -> tuple[float, float]:
+                k = key_names[c // (_KEYS * _SHAPES)], key_names[c // _SHAPES % _KEYS], shape_names[c % _SHAPES]
+                return l._made(cache, k, context_features(side, *k))
+
+            return of_code
+
+        def name(cache: dict, which: str):
+            return lambda c: l._named(cache, which, names[c // _SHAPES], shape_names[c % _SHAPES])
+
+        own = table[tokens[at]]
+        score = np.where(quoted[:, None], own[:, 6:8], own[:, 4:6])
+        score = score + self._scores(0, (ks[at - 1] * _KEYS + ks[at - 2]) * _SHAPES + s, near(l.caches[0], "<"))
+        score += self._scores(1, (ks[at + 1] * _KEYS + ks[at + 2]) * _SHAPES + s, near(l.caches[1], ">"))
+        score += self._scores(2, first * _SHAPES + s, name(l.caches[2], "n"))
+        score += self._scores(3, second * _SHAPES + s, name(l.caches[3], "m"))
+        best, outside = self._forward(score, start - 2 * np.arange(1, len(units) + 1), sizes)
+        return wide + [units[k] for k in np.flatnonzero(best >= outside - 1e-6)]
+
+    @staticmethod
+    def _governing(tokens, kinds, value, quoted, at, of, start, named: int, none: int):
+        """The names that govern each token, as ``Line`` has them where there is no escape and one kind of quotes."""
+        n = len(tokens)
+        place = np.arange(n)
+        unit = np.zeros(n, np.int64)
+        unit[at] = of
+        word = np.maximum.accumulate(np.where(kinds == _WORD, place, -1))
+        inside = np.zeros(n, bool)
+        inside[at] = quoted
+        said = np.maximum.accumulate(np.where((kinds == _WORD) & inside, place, -1))
+        assigns = np.flatnonzero(kinds == _ASSIGNS)
+        before = np.maximum(np.concatenate([[-1], assigns[:-1]]), start[unit[assigns]] - 1)
+        events = assigns[word[assigns] > before]
+        names = tokens[word[events]]
+        swap = (value[names] > 0) & (said[events] >= start[unit[events]])
+        names = np.where(swap, tokens[said[events]], names)
+        line = unit[events]
+        opens = np.ones(len(events), bool)
+        opens[1:] = line[1:] != line[:-1]
+        same = np.where(opens, names == named, np.concatenate([[-1], names[:-1]]) == names) if len(events) else opens
+        events, names, line = events[~same], names[~same], line[~same]
+        e = np.searchsorted(events, at) - 1
+        padded, lines = np.concatenate([names, [none]]), np.concatenate([line, [-1]])
+        has = (e >= 0) & (lines[e] == of)
+        earlier = np.maximum(e - 1, -1)
+        two = (e >= 1) & (lines[earlier] == of) & has
+        first = np.where(has, padded[e], named)
+        second = np.where(two, padded[earlier], np.where(has, named, none))
+        return first, second
+
+    def _forward(self, score: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score of the best labelling with a begin, of outside only) of each line; lines come the longest first."""
+        (oo, ob, _), (bo, bb, bi), (io, ib, ii), (so, sb, _) = self.l.steps
+        o, b, i = np.full(len(sizes), _NEVER), sb + score[start, 0], np.full(len(sizes), _NEVER)
+        live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right") if len(sizes) else []
+        for t in range(1, int(sizes[0])):
+            m = live[t]
+            eb, ei = score[start[:m] + t].T
+            p, q, r = o[:m], b[:m], i[:m]
+            to_o = np.maximum(np.maximum(p + oo, q + bo), r + io)
+            to_b = np.maximum(np.maximum(np.maximum(p, so + (t - 1) * oo) + ob, q + bb), r + ib) + eb
+            to_i = np.maximum(q + bi, r + ii) + ei
+            o[:m], b[:m], i[:m] = to_o, to_b, to_i
+        return np.maximum(np.maximum(o, b), i), so + (sizes - 1) * oo
+
+
+def _quotes(line: str) -> bool:
+    return any(c in line for c in "\"“”„«»") and any(c in line for c in "'‘’‚")
+
+
 def marked(text: str) -> tuple[str, str, list[tuple[int, int]]]:
     """(field, text, spans) of a marked example."""
     field, _, text = text.rpartition("\x1f")

@@ -15,8 +15,12 @@ _WORDS = (
     "river stone winter marble copper silver window garden forest cloud rocket maple falcon summer thunder velvet biscuit"
     " sommer nebel regen kranich fleur brume cielo lobo estrella montagne canyon piano orchid ember granite tiger jazz lampe"
 ).split()
-_HOSTS = "db.shop.example mail.example.org cache.internal queue.forge.invalid api.mill.invalid node7.local".split()
-_USERS = "admin root svc deploy app_rw reader ci finch otter_svc user1 build".split()
+_PLAIN_WORDS = (
+    "monkey dragon sunshine princess football shadow master hello freedom welcome charlie letme qwerty login secret iloveyou batman superman pepper ginger cookie"
+    " summer winter autumn spring horse staple battery correct purple orange banana hunter ranger soccer hockey starwars computer internet pokemon chocolate"
+).split()
+_HOSTS = "db.shop.example mail.example.org cache.internal queue.example.net api.example.com node7.local 10.0.3.17 localhost".split()
+_USERS = "admin root svc deploy app_rw reader ci alice bob_svc user1 build app postgres dev".split()
 _SECRET_NAMES = (
     "api_key apiKey API_KEY api-key llm_api_key secret SECRET client_secret clientSecret access_token accessToken ACCESS_TOKEN"
     " auth_token authToken service_token gatewayToken token TOKEN signing_secret SIGNING_SECRET signingKey private_key repairKey"
@@ -50,8 +54,8 @@ class Maker:
         """A key with a telling beginning, of known or invented vendors."""
         r = self.r
         lead = r.choice(
-            ["sk-", "sk-", "tkn-", "qv_live_", "pk.prod.", "nxa_pat_", "ghp_", "glpat-", "xoxb-", "AKIA", "AIza", "pk_live_", "rk_test_", "key-",
-             self.some(string.ascii_lowercase, 2, 4) + r.choice(["-", "_", "_live_", ".prod.", "_pat_", "-prod-", "_sk_"])]
+            ["sk-", "sk-", "sk-proj-", "sk_live_", "ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "AKIA", "AIza", "pk_live_", "rk_test_", "key-", "npm_", "dop_v1_", "SG.", "hf_", "pypi-", "shpat_", "tok.",
+             self.some(string.ascii_lowercase, 2, 4) + r.choice(["-", "_", "_live_", ".prod.", "_pat_", "-prod-", "_sk_", ".live.", "_test_", "_key_", "."])] * 2
         )
         if r.random() < 0.08:
             return f"{self.some(string.ascii_lowercase, 2, 4)}.{self.some(_ALNUM, 10, 14)}.{self.some(_ALNUM, 20, 28)}"
@@ -84,8 +88,21 @@ class Maker:
             lambda: f"{w()}{r.randint(100, 99999)}{r.choice('!?#_$')}",
             lambda: self.some(_ALNUM + "!#%&+_?", 9, 18) + str(r.randint(0, 9)),
             lambda: self.some(_ALNUM, 9, 14) + str(r.randint(0, 99)), lambda: self.some(string.ascii_letters, 7, 16),
+            self.plain_password,
+        ])()
+
+    def plain_password(self) -> str:
+        """What only its place tells to be a password: words, with few digits or none."""
+        r = self.r
+        w = lambda: r.choice(_PLAIN_WORDS) if r.random() < 0.6 else self.syllables()
+        return r.choice([
+            lambda: f"{w()}{r.randint(0, 9)}", lambda: f"{w()}{r.randint(10, 999)}", lambda: f"{w().title()}{r.randint(1, 99)}", lambda: f"{w()}{w()}", lambda: f"{w()}{w().title()}{r.randint(1, 99)}",
+            w, lambda: f"{w().title()}{r.choice('!?.#')}", lambda: f"{w()}pw", lambda: f"{w()}{w()}{w()}", lambda: re.sub("[aeo]", lambda m: {"a": "4", "e": "3", "o": "0"}[m.group()], w() + w()),
         ])()
 
+    def syllables(self) -> str:
+        return "".join(self.r.choice("bdfgklmnprstvz") + self.r.choice("aeiou") for _ in range(self.r.randint(3, 5)))
+
     def secret(self) -> str:
         return self.r.choice([self.vendor, self.vendor, self.vendor, self.opaque, self.jwt])()
 
@@ -97,10 +114,10 @@ class Maker:
         r = self.r
         return r.choice([
             "your api key", "<insert-key-here>", "<password>", "changeme", "CHANGE_ME", "xxxxxxxxxxxxxxxx", "sk-xxxxxxxxxxxxxxxxxxxxxxxx", "TODO",
-            "sk-your-key-goes-here-0000000000", "your-token-here", "${LLM_API_KEY}", "${DB_PASSWORD}", "${TOKEN:-}", "$(cat /run/keys/mill)", "env:REPAIR_TOKEN",
-            "vault:kv/llm/mill#key", "vault:kv/cellar", "{{ secrets.API_KEY }}", "%API_KEY%", "see keyring entry swift", "none", "null", "", "example", "dummy",
-            "********", "REPLACE_ME", "YOUR API KEY", "<insert key>", "env:API_KEY", "REDACTED", "<redacted>", "not-a-real-key", "placeholder", "secret", "password", "build-cache", "min 12 characters", "unset",
-            "file:///etc/keys/quail.pem", "arn:aws:secretsmanager:eu-1:0000:secret:mill", "insert token", "YOUR_API_KEY_HERE", "test", "aws-kms:alias/mill",
+            "sk-your-key-goes-here-0000000000", "your-token-here", "${LLM_API_KEY}", "${DB_PASSWORD}", "${TOKEN:-}", "$(cat /etc/app/token)", "$(pass show app/db)", "env:SERVICE_TOKEN",
+            "vault:secret/data/app#token", "vault:secret/app", "op://team/item/field", "ssm:/prod/db/password", "{{ secrets.API_KEY }}", "%API_KEY%", "see password manager", "ask the admin", "from keychain", "none", "null", "", "example", "dummy",
+            "********", "REPLACE_ME", "YOUR API KEY", "<insert key>", "env:API_KEY", "REDACTED", "<redacted>", "not-a-real-key", "placeholder", "secret", "password", "cache-key", "min 12 characters", "unset",
+            "file:///etc/ssl/app.pem", "arn:aws:secretsmanager:eu-1:0000:secret:app", "insert token", "YOUR_API_KEY_HERE", "test", "aws-kms:alias/app",
             "****" + self.hex(4), "sk-****" + self.hex(4), "***" + self.hex(3), "$" + r.choice(_SECRET_NAMES).upper(), "@secret/" + r.choice(_WORDS),
             "Bearer ${TOKEN}", "Bearer <token>", "Bearer $TOKEN", "sha256:" + self.hex(64), "sk-...", "0000000000000000", "1234567890",
         ])
@@ -140,7 +157,7 @@ class Maker:
             f"  \"{name}\": \"{value}\",", f"  \"{name}\": \"{value}\"", f"  <property name=\"{name}\" value=\"{value}\"/>", f"  <{name}>{value}</{name}>",
             f"  <entry key=\"{name}\">{value}</entry>", f"builder.{name}(\"{value}\")", f"client = Client({name}={q}{value}{q}, timeout=3)",
             f"        System.setProperty(\"{name}\", \"{value}\");", f"--{name}={value}", f"  {name} = os.environ.get(\"X\", {q}{value}{q})", f"var {name} = \"{value}\";",
-            f"    private static final String {name} =\n            \"{value}\";", f"{{\"{name}\": \"{value}\", \"user\": \"moth\"}}", f"const {name} = '{value}';",
+            f"    private static final String {name} =\n            \"{value}\";", f"{{\"{name}\": \"{value}\", \"user\": \"bob\"}}", f"const {name} = '{value}';",
         ])
         if r.random() < 0.02:
             line = re.sub(r"\"(.*?)\"", r"“\1”", line)
@@ -161,12 +178,14 @@ class Maker:
         if k < 0.26:
             return self.assigned(self.name(_SECRET_NAMES), mark(self.password() if r.random() < 0.15 else self.secret()))
         if k < 0.44:
-            return self.assigned(self.name(_PASSWORD_NAMES), mark(self.password()))
+            return self.assigned(self.name(_PASSWORD_NAMES), mark(self.plain_password() if r.random() < 0.25 else self.password()))
         if k < 0.52:
             return self.assigned(self.name(_NEUTRAL_NAMES), mark(self.vendor()))
         if k < 0.60:
             url = r.choice(["postgres://{u}:{p}@{h}/db", "jdbc:postgresql://{u}:{p}@{h}:5432/db", "https://{u}:{p}@{h}/x", "amqp://{u}:{p}@{h}", "redis://:{p}@{h}:6379/0",
-                            "jdbc:mysql://{h}/x?user={u}&password={p}", "jdbc:h2:mem:x;USER={u};PASSWORD={p}"]).format(u=user, h=host, p=mark(self.password()))
+                            "jdbc:mysql://{h}/x?user={u}&password={p}", "jdbc:h2:mem:x;USER={u};PASSWORD={p}"]).format(u=user, h=host, p=mark(self.plain_password() if r.random() < 0.25 else self.password()))
+            if r.random() < 0.2:
+                return url
             return self.assigned(r.choice(["url", "URL", "dsn", "DSN", "datasource", "DATASOURCE", "jdbcUrl", "connection", "broker"]), url)
         if k < 0.65:
             url = f"https://{host}/v1?{r.choice(['api_key', 'key', 'token', 'access_token', 'sig'])}={mark(self.secret())}"
@@ -202,16 +221,16 @@ class Maker:
                 f"[[-----BEGIN {kind}PRIVATE KEY-----]]", f"    static final String PEM = \"[[-----BEGIN {kind}PRIVATE KEY-----\\n\" + \"{body}\\n\"]]",
                 f"  key: \"[[-----BEGIN {kind}PRIVATE KEY-----\\n{body}]]\"", f"    \"[[-----BEGIN {kind}PRIVATE KEY-----\\n\"]]", f"PRIVATE_KEY=\"[[-----BEGIN {kind}PRIVATE KEY-----]]",
             ])
-        if k < 0.96:
+        if k < 0.95:
             note = r.choice(["use this account for local runs", "staging login is", "test account", "login", "ask for", "demo user", "Testkonto", "Anmeldung", "cuenta de prueba", "compte de test", "sign in as"])
             user = r.choice([user, f"{r.choice(_WORDS)}_{r.choice(['dev', 'test', 'ro'])}"])
             return f"{r.choice(['//', '//', '#', '     *'])} {note}{r.choice([':', ':', ''])} {user} / [[{self.password()}]]"
-        if k < 0.973:
+        if k < 0.963:
             if r.random() < 0.5:
                 return f"    static final String {self.name(_SECRET_NAMES)} = decode(\"[[{self.encoded()}]]\");"
             return f"    String {self.name(_SECRET_NAMES)} = new String(Base64.getDecoder().decode(\"[[{self.encoded()}]]\"));"
         return r.choice([
-            f"        login(\"{user}\", \"[[{self.password()}]]\");", f"mysql -u {user} -p[[{self.password()}]] -h {host}", f"  auth: [{user}, \"[[{self.password()}]]\"]",
+            f"        login(\"{user}\", \"[[{self.password()}]]\");", f"mysql -u {user} -p[[{self.password()}]] {r.choice([f'-h {host}', 'app', '', 'shop < dump.sql'])}", f"curl -{r.choice(['u', 'su', 'X GET -u'])} {user}:[[{self.password()}]] https://{host}/{r.choice(['', 'v1', 'api'])}", f"sshpass -p [[{self.password()}]] ssh {user}@{host}", f"passphrase{r.choice([' = ', ': ', '='])}\"[[{' '.join(r.choice(_PLAIN_WORDS + _WORDS) for _ in range(r.randint(2, 4)))}]]\"", f"  auth: [{user}, \"[[{self.password()}]]\"]",
             f"DriverManager.getConnection(url, \"{user}\", \"[[{self.password()}]]\");", f"# old key: [[{self.vendor()}]]", f"// TODO remove [[{self.vendor()}]]",
             f"user={user};password=[[{self.password()}]]", f"     * Uses the token [[{self.vendor()}]] for now.",
         ])
@@ -224,7 +243,7 @@ class Maker:
             return r.choice([self.placeholder(), self.placeholder(), "sha256:" + self.hex(64)])
         return r.choice([
             lambda: mark(self.secret()), lambda: f"  {mark(self.secret())}", lambda: mark(self.password()), lambda: f"Bearer {mark(self.secret())}", lambda: mark(self.encoded()),
-            lambda: f"https://x.invalid/v1?api_key={mark(self.secret())}", lambda: f'{{"key": "{mark(self.secret())}", "user": "kite"}}', lambda: mark(self.password()),
+            lambda: f"https://x.invalid/v1?api_key={mark(self.secret())}", lambda: f'{{"key": "{mark(self.secret())}", "user": "alice"}}', lambda: mark(self.password()),
         ])()
 
     def plain(self) -> str:
@@ -235,7 +254,7 @@ class Maker:
         return r.choice([
             f"char {w} = '{sign}', {y} = '{r.choice('!?.,:@|+*')}';", f"    if (c == '{sign}' || c == '\\'') {{", f"        case '{sign}': return '{r.choice('abXY_~^')}';", f"    static final char SEPARATOR = '{sign}';",
             f"while ({x} < {y} && {w}) {{ {v.lower()}(); }}", f"        for (int {x} = 0; {x} < {n} && !{w}; {x}++) {{", f"if ({x} > {n} || {y} <= {x} && {w}.ready()) return;", f"    return {x} != null && {x}.{w}{of}() == {y};",
-            f"        boolean {w}{n} = {w}.is{of}() ? false : {x} > {n};", f"    String {w} = {v.lower()}.next{of}() ? {x} + \"{y}\" : \"{w}\";", f"        Object {x} = {w}.get{of}() ? {n}.5f + \"{y}\" : \"{x};", f"        double {w}{n} = {w}.peek{of}() * {n}.25 - {x};",
+            f"        boolean {w}{n} = {w}.is{of}() ? false : {x} > {n};", f"    String {w} = {v.lower()}.next{of}() ? {x} + \"{y}\" : \"{w}\";", f"        Object {x} = {w}.get{of}() ? {n}.5f + \"{y}\" : \"{x};", f"        double {w}{n} = {w}.peek{of}() * {n}.25 - {x};", f"        String {w} = {x} > {n} ? {r.randint(100, 9999)}L + \"{y}\" : \"{v}\";", f"        char {x} = {w}.read{of}() ? '{y}' : '?'; long {y} = {r.randint(100, 9999)}L + {n};", f"        Object {y} = ({w}.has{of}()) ? {r.randint(100, 9999)}L + \"a\" : \"{x}\";", f"        long {x} = {w}.{of.lower()}({n}) ? {r.randint(1, 9999)}L + {w}.size() : 0;",
             f"    public void {w}{v}{r.choice(['Stops', 'AtEnd', 'Again', 'WithNull'])}{r.randint(0, 30)}({r.choice(['', 'long id', 'String s'])}) {{", f"    void {w}{v}{r.randint(0, 99)}() throws IOException {{", f"private {v} {w}{v}{n}(int[] {x}) {{",
             f"        {w}.{v.lower()}{of}({x}, new {v}({n}), List.of(), Set.of({n}));", f"        assertTrue({w}.has{of}(new {v}({n}), Optional.empty()));", f"    {w}{v}{n}();", f"        return new {v}{of}({x}, {n});", f"    }} catch ({v}Exception {x}) {{",
             f"  <note>a &gt;&gt;&gt; b &amp;&amp; {w} &lt; {n}</note>", f"  <item label=\"{w} &amp;&amp;&amp; {v}\"/>", f"  <{w} text=\"&gt;&gt;&gt;&gt;&gt; {v}\"/>", f"  <{w}>{v} {n}</{w}>", f"  - {w}: {v}", f"# {v} and {w} are read in {n} steps", f"// the {w} {of.lower()} is checked by the {v} rule",
@@ -281,7 +300,12 @@ class Maker:
                 f"String {n} = vault.read(\"kv/{w}/{w}\");", f"    public void set{n.title()}(String {n}) {{ this.{n} = {n}; }}", f"if (!{n}.equals(other.{n})) return false;",
                 f"        String {n} = readSecret(\"{w}-{r.randint(10, 99)}\");", f"api.key.file=/etc/keys/{w}.pem", f"  secretName: {w}-credentials-{r.randint(1, 9)}", f"    fail(\"bad token: {w}{r.randint(100, 999)}\");",
             ])
-        if k < 0.88:
+        if k < 0.83:
+            w = r.choice(_PLAIN_WORDS)
+            return r.choice([
+                self.assigned(self.name(_OTHER_NAMES + _NEUTRAL_NAMES), self.plain_password()), f"        assertEquals(\"{w}\", subject.{w}Name());", f"user = \"{w}{r.randint(1, 99)}\"", f"  user: {w}", f"  username: {self.plain_password()}", f"login({w}, {w}Field)", f"passwordField.setText({w});", f"<label for=\"password\">{w}</label>", f"passwordLabel = \"{w.title()}:\"", f"password.length() > {r.randint(6, 20)}", f"tokens = {w}.split(\" \")",
+            ])
+        if k < 0.90:
             return self.plain()
         w, v = r.choice(_WORDS), r.choice(_WORDS).title()
         return r.choice([

@@ -17,50 +17,75 @@ from suitelens.operators.spread import spread
 
 _KEY_BEGINS = re.compile(r"BEGIN [A-Z ]*PRIVATE KEY")
 _KEY_ENDS = re.compile(r"END [A-Z ]*PRIVATE KEY-*")
-_GOES_ON = re.compile(r"\s*(?:\+\s*)?[\"'][^\"'\n]*[\"'][\s;,)+]*(?:\n|$)|\s*\+")
+_GOES_ON = re.compile(r"[ \t\r]*(?:\+[ \t]*)?[\"'][^\"'\n]*[\"'][\s;,)+]*(?:\n|$)|[ \t]*\+")
+
+
+#: Texts that are looked at together.
+BATCH = 500
 
 
 @lru_cache(maxsize=2)
-def model(seed: int = 11, n: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+def model(seed: int = 11, n: int = 9000) -> tuple[np.ndarray, np.ndarray]:
     """Trained on ``n`` generated lines; the same for the same seed."""
     return train([x for x in map(labelled, examples(seed, n)) if x])
 
 
-_INDENT = (" ", "\t", '"', "'", "+")
-
-
 @lru_cache(maxsize=2)
 def _kept(weights: bytes, steps: bytes) -> Labeller:
     """One labeller a Python worker, whose remembered scores serve all of its tasks."""
     return Labeller(np.frombuffer(weights, np.float32).reshape(-1, 3), np.frombuffer(steps, np.float32).reshape(-1, 3))
 
 
+@lru_cache(maxsize=200_000)
+def _goes_on(line: str) -> bool:
+    """Whether a line is a piece of the string of the line before."""
+    return _GOES_ON.match(line) is not None
+
+
+def _units(text: str) -> list[tuple[int, str]]:
+    """(place, line): the lines, each with those after that its string is put together from."""
+    out, begin, parts = [], 0, []
+    at = 0
+    for line in text.split("\n"):
+        if parts and line[:1] in _INDENT and (_goes_on(line) if len(line) < 300 else _GOES_ON.match(line)):
+            parts.append(line)
+        else:
+            if parts:
+                out.append((begin, "\n".join(parts)))
+            begin, parts = at, [line]
+        at += len(line) + 1
+    out.append((begin, "\n".join(parts)))
+    return out
+
+
+_INDENT = frozenset(" \t\"'+")
+
+
+def spans_of_all(texts: list[str | None], labeller: Labeller, field: str = "") -> list[list[tuple[int, int]]]:
+    """``credential_spans`` of each text; nulls have none."""
+    units = [_units(x) if x else [] for x in texts]
+    labels = iter(labeller.many([line for u in units for _, line in u], field))
+    return [_joined(x, [(begin, next(labels)) for begin, _ in u]) if u else [] for x, u in zip(texts, units)]
+
+
 def credential_spans(text: str, labeller: Labeller, field: str = "") -> list[tuple[int, int]]:
     """The stretches of ``text`` that are usable credentials; every line is labelled. A string that goes on in the next lines is one."""
+    return spans_of_all([text], labeller, field)[0]
+
+
+def _joined(text: str, labels: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    done = 0
-    while done < len(text):
-        begin, end = done, _line_end(text, done)
-        # A string in pieces goes with the lines after that it is put together from.
-        while end < len(text) and text[end + 1 : end + 2] in _INDENT and _GOES_ON.match(text, end + 1) and end - begin < 20_000:
-            end = _line_end(text, end + 1)
-        done = end + 1
-        for a, b in labeller.remembered(text[begin:end], field):
+    for begin, spans in labels:
+        for a, b in spans:
             a, b = begin + a, begin + b
             if out and a < out[-1][1]:
                 continue  # inside of a key's block
             if _KEY_BEGINS.search(text, a, b) and (last := _KEY_ENDS.search(text, a)):
                 b = max(b, last.end())  # a key's block goes on to its last line, however it is cut into lines
-                done = max(done, b)
             out.append((a, b))
     return out
 
 
-def _line_end(text: str, at: int) -> int:
-    end = text.find("\n", at)
-    return len(text) if end < 0 else end
-
-
 def redacted(text: str, spans: list[tuple[int, int]], mask: str) -> str:
     """Each stretch replaced; what stands between its pieces (quotes, plus signs, line ends in strings) stays."""
     parts, at = [], 0
@@ -81,7 +106,7 @@ def find_credentials(
     texts have no lines and stay null, empty ones stay empty. Every text is read whole. Rows that repeat an id are
     searched each by itself.
     """
-    weights, steps = (x.tobytes() for x in model(seed))
+    shared = df.sparkSession.sparkContext.broadcast(tuple(x.tobytes() for x in model(seed)))  # 2^BITS weights
     known = spread(df.select(id_column, text))
     id_type = df.schema[id_column].dataType
     if redact:
@@ -91,12 +116,12 @@ def find_credentials(
     names = schema.names
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = _kept(weights, steps)
+        labeller = _kept(*shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows, lines, clean, counts = [], [], [], []
-            for i, x in enumerate(texts):
-                spans = credential_spans(x, labeller, field) if x else []
+            every = (s for k in range(0, len(texts), BATCH) for s in spans_of_all(texts[k : k + BATCH], labeller, field))
+            for i, (x, spans) in enumerate(zip(texts, every)):
                 if redact:
                     clean.append(redacted(x, spans, mask) if spans else x)
                     counts.append(len(spans))

@@ -8,6 +8,7 @@ over padded batches; use takes the best labelling by the Viterbi recursion.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import chain
 from operator import ne
 from string import ascii_lowercase, ascii_uppercase, digits
@@ -51,16 +52,24 @@ def shape(token: str) -> str:
     return kinds + rate + size
 
 
-def name_parts(name: str) -> list[str]:
-    return [p.lower() for p in _PARTS.findall(name)][:6] or [name[:8]]
+@lru_cache(maxsize=100_000)
+def name_parts(name: str) -> tuple[str, ...]:
+    return tuple([p.lower() for p in _PARTS.findall(name)][:6]) or (name[:8],)
+
+
+@lru_cache(maxsize=100_000)
+def _speaks_of(name: str) -> tuple[tuple[str, ...], str]:
+    """(parts, kinds of what they speak of)"""
+    parts = name_parts(name) if name else ("-",)
+    return parts, "".join(sorted({_OF[p] for p in parts if p in _OF}))
 
 
 def _id(text: str) -> int:
     return crc32(text.encode()) & ((1 << BITS) - 1)
 
 
-def own_features(token: str, quoted: bool) -> list[int]:
-    s, low = shape(token), token.lower()
+def own_features(token: str, quoted: bool, s: str = "") -> list[int]:
+    s, low = s or shape(token), token.lower()
     out = ["s" + s, f"sq{s}{quoted}", "w" + low[:24]]
     if len(token) > 5:
         head = re.match(r"[A-Za-z]+[-_](?:[a-z]{2,5}_)?", token)
@@ -88,8 +97,7 @@ _OF = {w: k for k, ws in _SPEAKS.items() for w in ws.split()}
 
 
 def name_features(which: str, name: str, s: str) -> list[int]:
-    parts = name_parts(name) if name else ["-"]
-    of = "".join(sorted({_OF[p] for p in parts if p in _OF}))
+    parts, of = _speaks_of(name)
     out = [_id(f"{which}{p}|{s}") for p in parts] + [_id(f"{which}{p}") for p in parts]
     return out + [_id(f"{which}={of}"), _id(f"{which}={of}|{s}"), _id(f"{which}={of}|{s[:-1]}")]
 
@@ -239,7 +247,7 @@ class Labeller:
         self.caches: list[dict] = [{}, {}, {}, {}]
         self.parts: dict[tuple[str, str, str], tuple[float, float]] = {}
         self.shapes: dict[str, tuple] = {}
-        self.lines: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        self.lines: dict[str, dict[str, list[tuple[int, int]]]] = {}
         self.remember = remember
         self.batches: Batches | None = None
         (oo, ob, _), (bo, bb, bi), (io, ib, ii), (so, sb, _) = self.steps
@@ -258,7 +266,7 @@ class Labeller:
             self.shapes.clear()
         s = shape(token)
         key = token.lower() if len(token) < 9 and not any(c.isdigit() for c in token) else s
-        b, i = self.over[own_features(token, False)].sum(0).tolist()
+        b, i = self.over[own_features(token, False, s)].sum(0).tolist()
         k = ("q", s, "")
         x, y = self.parts.get(k) or self._made(self.parts, k, [_id(f"sq{s}True")])
         k = ("q", "", s)
@@ -270,8 +278,7 @@ class Labeller:
         """The sums of ``name_features``, from those of the parts of the name."""
         if len(cache) > self.remember:
             cache.clear()
-        parts = name_parts(name) if name else ["-"]
-        of = "".join(sorted({_OF[p] for p in parts if p in _OF}))
+        parts, of = _speaks_of(name)
         b = i = 0.0
         for p in parts:
             k = (which, p, s)
@@ -286,26 +293,26 @@ class Labeller:
         """``spans`` of each line; those of short ones are remembered, without what is around them."""
         if self.batches is None:
             self.batches = Batches(self)
-        if len(self.lines) > self.remember:
-            self.lines.clear()
+        known = self.lines.setdefault(field, {})
+        if len(known) > self.remember:
+            known.clear()
         bare = [x.strip(_BLANK) for x in lines]
-        new = list(dict.fromkeys(x for x in bare if (x, field) not in self.lines))
+        new = list(dict.fromkeys([x for x in bare if x not in known]))
         found: dict[str, list[tuple[int, int]]] = dict.fromkeys(new, [])
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for u in self.batches.promising(part, field):
                 found[part[u]] = self.spans(part[u], field)
-        known = self.lines
         out = []
         for x, line in zip(bare, lines):
-            spans = found[x] if x in found else known[x, field]
+            spans = found[x] if x in found else known[x]
             if spans:
                 skipped = len(line) - len(line.lstrip(_BLANK))
                 spans = [(a + skipped, b + skipped) for a, b in spans]
             out.append(spans)
         for x in new:
             if len(x) <= 300:
-                known[x, field] = found[x]
+                known[x] = found[x]
         return out
 
     def spans(self, text: str, field: str = "") -> list[tuple[int, int]]:

@@ -3,27 +3,26 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from suitelens.llm.batching import by_size
 from suitelens.llm.secrets.crf import Labeller, labelled, train
 from suitelens.llm.secrets.examples import examples
 from suitelens.operators.spread import spread
 
 _KEY_BEGINS = re.compile(r"BEGIN [A-Z ]*PRIVATE KEY")
 _KEY_ENDS = re.compile(r"END [A-Z ]*PRIVATE KEY-*")
+_MAYBE = re.compile(r"\n[ \t]*[\"'+]")
 _GOES_ON = re.compile(r"[ \t\r]*(?:\+[ \t]*)?[\"'][^\"'\n]*[\"'][\s;,)+]*(?:\n|$)|[ \t]*\+")
 
 
-#: Texts that are looked at together.
-BATCH = 500
-
-
 @lru_cache(maxsize=2)
 def model(seed: int = 11, n: int = 9000) -> tuple[np.ndarray, np.ndarray]:
     """Trained on ``n`` generated lines; the same for the same seed."""
@@ -36,36 +35,35 @@ def _kept(weights: bytes, steps: bytes) -> Labeller:
     return Labeller(np.frombuffer(weights, np.float32).reshape(-1, 3), np.frombuffer(steps, np.float32).reshape(-1, 3))
 
 
-@lru_cache(maxsize=200_000)
-def _goes_on(line: str) -> bool:
-    """Whether a line is a piece of the string of the line before."""
-    return _GOES_ON.match(line) is not None
-
-
-def _units(text: str) -> list[tuple[int, str]]:
-    """(place, line): the lines, each with those after that its string is put together from."""
-    out, begin, parts = [], 0, []
-    at = 0
-    for line in text.split("\n"):
-        if parts and line[:1] in _INDENT and (_goes_on(line) if len(line) < 300 else _GOES_ON.match(line)):
-            parts.append(line)
+def _units(text: str) -> tuple[list[int], list[str]]:
+    """(places, lines): the lines, each with those after that its string is put together from."""
+    lines = text.split("\n")
+    places = list(accumulate([len(x) + 1 for x in lines[:-1]], initial=0))
+    if not _MAYBE.search(text):
+        return places, lines
+    starts, out = [], []
+    for at, line in zip(places, lines):
+        if out and line[:1] in _INDENT and line.lstrip()[:1] in _PIECE and _GOES_ON.match(line):
+            out[-1].append(line)
         else:
-            if parts:
-                out.append((begin, "\n".join(parts)))
-            begin, parts = at, [line]
-        at += len(line) + 1
-    out.append((begin, "\n".join(parts)))
-    return out
+            starts.append(at)
+            out.append([line])
+    return starts, ["\n".join(x) for x in out]
 
 
-_INDENT = frozenset(" \t\"'+")
+_INDENT, _PIECE = frozenset(" \t\"'+"), frozenset("\"'+")
 
 
 def spans_of_all(texts: list[str | None], labeller: Labeller, field: str = "") -> list[list[tuple[int, int]]]:
     """``credential_spans`` of each text; nulls have none."""
-    units = [_units(x) if x else [] for x in texts]
-    labels = iter(labeller.many([line for u in units for _, line in u], field))
-    return [_joined(x, [(begin, next(labels)) for begin, _ in u]) if u else [] for x, u in zip(texts, units)]
+    units = [_units(x) if x else ([], []) for x in texts]
+    labels = labeller.many([line for _, lines in units for line in lines], field)
+    out, at = [], 0
+    for x, (places, _) in zip(texts, units):
+        mine = labels[at : at + len(places)]
+        at += len(places)
+        out.append(_joined(x, zip(places, mine)) if any(mine) else [])
+    return out
 
 
 def credential_spans(text: str, labeller: Labeller, field: str = "") -> list[tuple[int, int]]:
@@ -73,7 +71,7 @@ def credential_spans(text: str, labeller: Labeller, field: str = "") -> list[tup
     return spans_of_all([text], labeller, field)[0]
 
 
-def _joined(text: str, labels: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int]]:
+def _joined(text: str, labels: Iterable[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for begin, spans in labels:
         for a, b in spans:
@@ -120,7 +118,7 @@ def find_credentials(
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows, lines, clean, counts = [], [], [], []
-            every = (s for k in range(0, len(texts), BATCH) for s in spans_of_all(texts[k : k + BATCH], labeller, field))
+            every = (s for _, part in by_size(texts) for s in spans_of_all(part, labeller, field))
             for i, (x, spans) in enumerate(zip(texts, every)):
                 if redact:
                     clean.append(redacted(x, spans, mask) if spans else x)

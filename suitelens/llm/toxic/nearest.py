@@ -17,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from suitelens.llm.batching import by_size
 from suitelens.llm.toxic.examples import labelled
 from suitelens.llm.toxic.features import TAG, TERMS, Terms, Vocabulary, sentence_text
 from suitelens.operators.spread import spread
 
 #: Examples a block; neighbours that vote; the least cosine of a neighbour; what terms of sense weigh more than words.
 BLOCK, NEIGHBOURS, FLOOR, SENSE = 64, 6, 0.25, 2.0
-#: Texts that are looked at together.
-BATCH = 512
 
 
 @lru_cache(maxsize=1)
@@ -41,8 +40,8 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
         for batch in batches:
             texts = [x for x in batch.column(0).to_pylist() if x]
             documents += len(texts)
-            for i in range(0, len(texts), BATCH):
-                Terms(texts[i : i + BATCH], vocabulary).frequencies(total)
+            for _, part in by_size(texts, 512):
+                Terms(part, vocabulary).frequencies(total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], documents))], names=["term", "n"])
 
@@ -203,8 +202,7 @@ def harm_scores(df: DataFrame, id_column: str, text: str, keep: list[str] = (),
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             scores, said, example = np.zeros(len(texts)), [None] * len(texts), [None] * len(texts)
-            for i in range(0, len(texts), BATCH):
-                part = texts[i : i + BATCH]
+            for i, part in by_size(texts, 512):
                 terms, votes, places = index.score(part, vocabulary)
                 hit = np.flatnonzero(votes > 0)
                 # The first of the worst sentences of each document.

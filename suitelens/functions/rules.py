@@ -17,7 +17,7 @@ def contains_any(text: Column, parts: Sequence[str]) -> Column:
     return hit
 
 
-def first_match(text: Column, rules: Sequence[Rule], default: str) -> Column:
+def first_match(text: Column, rules: Sequence[Rule], default: str | None) -> Column:
     """The label of the first rule of which a part occurs in ``text``; ``default`` for none and for null."""
     out = F.lit(default)
     for label, parts in reversed(rules):
@@ -34,9 +34,9 @@ def best_scored(text: Column, rules: Sequence[tuple[str, Sequence[str], float]],
     return F.coalesce(F.greatest(*scored).getField("l"), F.lit(default))
 
 
-def sql_first_match(text: str, rules: Sequence[Rule], default: str) -> str:
+def sql_first_match(text: str, rules: Sequence[Rule], default: str | None) -> str:
     cases = " ".join(f"WHEN {' OR '.join(f'contains({text}, {quoted(p)})' for p in parts)} THEN {quoted(label)}" for label, parts in rules)
-    return f"CASE {cases} ELSE {quoted(default)} END"
+    return f"CASE {cases} ELSE {'NULL' if default is None else quoted(default)} END"
 
 
 def quoted(text: str) -> str:

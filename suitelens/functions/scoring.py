@@ -31,6 +31,11 @@ def time_penalty(seconds: Column) -> Column:
     return F.least(F.lit(0.02), seconds / 30.0)
 
 
+def ratio(covered: Column, total: Column) -> Column:
+    """covered / total; 0 where there is nothing to cover."""
+    return F.when(total > 0, covered / total).otherwise(F.lit(0.0))
+
+
 def fitness(line: Column, branch: Column, method: Column, failure: Column, time: Column) -> Column:
     """0.5 line + 0.4 branch + 0.1 method coverage (as fractions), plus the bonus, less the penalties, never negative; halves go up."""
     base = 0.5 * line + 0.4 * branch + 0.1 * method
@@ -44,11 +49,23 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(1.0 - F.size(F.array_intersect(a, b)) / both)
 
 
+def token_distance(a: Column, b: Column) -> Column:
+    """``jaccard_distance`` of words; 1 as soon as either has none."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(1.0)).otherwise(jaccard_distance(a, b))
+
+
+def diversity(meaning: Column, methods: Column, paths: Column) -> Column:
+    """0.4 of the distance in meaning, 0.3 of that of covered methods and 0.3 of that of covered paths."""
+    return 0.4 * meaning + 0.3 * methods + 0.3 * paths
+
+
 def decayed_rate(generation: Column, low: float = 0.1, high: float = 0.3, decay: float = 0.1) -> Column:
-    """A rate that falls from ``high`` to ``low`` over the generations."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.lit(high) * F.exp(-F.lit(decay) * generation)))
+    """A rate that falls from ``high`` in the first generation towards ``low``."""
+    return F.lit(low) + F.lit(high - low) * F.exp(-F.lit(decay) * (generation - 1))
 
 
-def fitness_rate(generation: Column, value: Column, low: float = 0.1, most: float = 0.36) -> Column:
-    """The decayed rate, raised by up to a fifth for weak suites."""
-    return F.greatest(F.lit(low), F.least(F.lit(most), decayed_rate(generation) * (1.0 + 0.2 * (1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))))))
+def fitness_rate(generation: Column, value: Column, low: float = 0.1, high: float = 0.3) -> Column:
+    """The decayed rate, halved from a fitness of 0.8 and raised by a fifth up to 0.3, between ``low`` and 1.2 ``high``."""
+    base = decayed_rate(generation, low, high)
+    own = F.when(value >= 0.8, 0.5 * base).when(value <= 0.3, 1.2 * base).otherwise(base)
+    return F.greatest(F.lit(low), F.least(own, F.lit(high * 1.2)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from suitelens.functions import names, rules
@@ -19,11 +19,14 @@ def _methods(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(
         F.col("p_brand").alias("class_name"), F.col("p_name").alias("method"), F.col("p_partkey").alias("method_id"), (F.col("p_size") % 6).alias("params"),
         F.col("p_size").alias("line_count"), (F.col("p_partkey") % 3 != 0).alias("is_public"), (F.col("p_size") % 7 == 0).alias("is_accessor"), F.col("p_type").alias("dependency"),
+        F.element_at(F.array(*(F.lit(x) for x in RETURNED)), (F.col("p_partkey") % 4 + 1).cast("int")).alias("returned"),
     )
 
 
+RETURNED = ["void", "int", "java.lang.String", "java.util.List"]  # results of the methods this table stands for
 _METHODS_SQL = """methods AS (SELECT p_brand AS class_name, p_name AS method, p_partkey AS method_id, p_size % 6 AS params, p_size AS line_count,
-  p_partkey % 3 <> 0 AS is_public, p_size % 7 = 0 AS is_accessor, p_type AS dependency FROM part)"""
+  p_partkey % 3 <> 0 AS is_public, p_size % 7 = 0 AS is_accessor, p_type AS dependency,
+  list_extract(['void', 'int', 'java.lang.String', 'java.util.List'], (p_partkey % 4 + 1)::INT) AS returned FROM part)"""
 
 
 def method_priority(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,19 +41,37 @@ SQL["method_priority"] = f"""WITH {_METHODS_SQL} SELECT class_name, method_id, r
 TESTS = {"SIMPLE": (1, 2), "CONDITIONAL": (2, 4), "EXCEPTION": (3, 5), "DEPENDENT": (2, 3)}
 
 
+# What names of methods speak of, and types that depend on nothing.
+EXCEPTIONAL = ["exception", "error", "throw", "catch", "try", "validate", "check", "assert"]
+CONDITIONS = ["if", "is", "has", "should", "can", "contains", "equals", "compare", "validate", "verify"]
+PRIMITIVES = ["void", "boolean", "int", "long", "float", "double", "char", "byte", "short"]
+COMMON = ["equals", "hashcode", "tostring"]
+
+
+def complexity(name: Column, accessor: Column, lines: Column, params: Column, returned: Column) -> Column:
+    """SIMPLE, CONDITIONAL, EXCEPTION or DEPENDENT, by the first rule that fires: kind, length, parameters, result, name."""
+    low = F.lower(name)
+    return (
+        F.when(accessor, "SIMPLE").when(name.startswith("new"), "DEPENDENT")
+        .when(lines > 30, "EXCEPTION").when(lines > 15, "CONDITIONAL").when(lines > 5, "DEPENDENT").when(params > 3, "CONDITIONAL")
+        .when((returned != "") & ~returned.isin(PRIMITIVES) & ~returned.startswith("java.lang."), "DEPENDENT")
+        .when(rules.contains_any(low, EXCEPTIONAL), "EXCEPTION").when(rules.contains_any(low, CONDITIONS), "CONDITIONAL")
+        .when(low.rlike("^(get|is|has|set).") & (F.length(low) > 3) | low.isin(COMMON), "SIMPLE").otherwise("CONDITIONAL")
+    )
+
+
 def method_complexity(spark: SparkSession, sf: str) -> DataFrame:
     """How many tests the methods of a class should get, by the first rule that says how complex each is."""
-    c = (
-        F.when(F.col("is_accessor"), "SIMPLE").when(F.col("method").startswith("new"), "DEPENDENT").when(F.col("line_count") > 30, "EXCEPTION").when(F.col("line_count") > 15, "CONDITIONAL")
-        .when(F.col("params") > 3, "DEPENDENT").when(F.col("line_count") > 5, "CONDITIONAL").otherwise("SIMPLE")
-    )
+    c = complexity(F.col("method"), F.col("is_accessor"), F.col("line_count"), F.col("params"), F.col("returned"))
     look = lambda i: F.create_map(*(F.lit(x) for k, v in TESTS.items() for x in (k, v[i])))[F.col("complexity")]
     m = _methods(spark, sf).withColumn("complexity", c).withColumns({"low": look(0), "high": look(1)})
     return m.groupBy("class_name", "complexity").agg(F.count(F.lit(1)).alias("methods"), F.sum("low").alias("least_tests"), F.sum("high").alias("most_tests"))
 
 
 SQL["method_complexity"] = f"""WITH {_METHODS_SQL}, c AS (SELECT *, CASE WHEN is_accessor THEN 'SIMPLE' WHEN starts_with(method, 'new') THEN 'DEPENDENT' WHEN line_count > 30 THEN 'EXCEPTION' WHEN line_count > 15 THEN 'CONDITIONAL'
-  WHEN params > 3 THEN 'DEPENDENT' WHEN line_count > 5 THEN 'CONDITIONAL' ELSE 'SIMPLE' END AS complexity FROM methods)
+  WHEN line_count > 5 THEN 'DEPENDENT' WHEN params > 3 THEN 'CONDITIONAL' WHEN returned <> '' AND NOT list_contains([{', '.join(map(rules.quoted, PRIMITIVES))}], returned) AND NOT starts_with(returned, 'java.lang.') THEN 'DEPENDENT'
+  WHEN regexp_matches(lower(method), '{'|'.join(EXCEPTIONAL)}') THEN 'EXCEPTION' WHEN regexp_matches(lower(method), '{'|'.join(CONDITIONS)}') THEN 'CONDITIONAL'
+  WHEN regexp_matches(lower(method), '^(get|is|has|set).') AND length(method) > 3 OR lower(method) IN ('equals', 'hashcode', 'tostring') THEN 'SIMPLE' ELSE 'CONDITIONAL' END AS complexity FROM methods)
 SELECT class_name, complexity, count(*) AS methods, sum(CASE complexity WHEN 'SIMPLE' THEN 1 WHEN 'CONDITIONAL' THEN 2 WHEN 'EXCEPTION' THEN 3 ELSE 2 END) AS least_tests,
   sum(CASE complexity WHEN 'SIMPLE' THEN 2 WHEN 'CONDITIONAL' THEN 4 WHEN 'EXCEPTION' THEN 5 ELSE 3 END) AS most_tests FROM c GROUP BY 1, 2"""
 
@@ -201,15 +222,28 @@ def round_robin_focus(spark: SparkSession, sf: str) -> DataFrame:
 SQL["round_robin_focus"] = f"SELECT list_extract([{', '.join(rules.quoted(x) for x in FOCUS)}], (((suite_index - 1) % 10 + 10) % 10 + 1)::INT) AS focus, count(*) AS files, count(*) FILTER (WHERE final_success) AS successes FROM test_file_stats WHERE suite_index IS NOT NULL GROUP BY 1"
 
 
+# What a report must have to be complete. Paths are not in the table; their key stands in every report read from files.
+REQUIRED = ["metrics", "covered_methods", "uncovered_methods", "fitness"]
+REQUIRED_METRICS = ["line_coverage", "branch_coverage", "method_coverage"]
+
+
+def lacking_fields(fields: list[str], metrics: list[str]) -> Column:
+    """The names of the required fields that are null, joined by commas; those of metrics only if there are metrics."""
+    tests = [F.when(F.col(f).isNull(), F.lit(f)) for f in fields]
+    tests += [F.when(F.col("metrics").isNotNull() & F.col(f"metrics.{m}").isNull(), F.lit(m)) for m in metrics]
+    return F.array_join(F.array_compact(F.array(*tests)), ",")
+
+
 def incomplete_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Reports that lack a field which completeness asks for, with the fields."""
-    fields = ["test_class", "target_class", "fitness", "covered_methods", "uncovered_methods"]
-    lacking = F.array_compact(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in fields)))
-    return table(spark, sf, "coverage_report").select("report_id", F.array_join(lacking, ",").alias("lacking")).filter("lacking <> ''")
+    reports = table(spark, sf, "coverage_report")
+    return reports.select("report_id", lacking_fields(REQUIRED, REQUIRED_METRICS).alias("lacking")).filter("lacking <> ''")
 
 
-SQL["incomplete_reports"] = """WITH x AS (SELECT report_id, concat_ws(',', CASE WHEN test_class IS NULL THEN 'test_class' END, CASE WHEN target_class IS NULL THEN 'target_class' END, CASE WHEN fitness IS NULL THEN 'fitness' END,
-  CASE WHEN covered_methods IS NULL THEN 'covered_methods' END, CASE WHEN uncovered_methods IS NULL THEN 'uncovered_methods' END) AS lacking FROM coverage_report) SELECT * FROM x WHERE lacking <> ''"""
+SQL["incomplete_reports"] = """WITH x AS (SELECT report_id, concat_ws(',', CASE WHEN metrics IS NULL THEN 'metrics' END, CASE WHEN covered_methods IS NULL THEN 'covered_methods' END,
+  CASE WHEN uncovered_methods IS NULL THEN 'uncovered_methods' END, CASE WHEN fitness IS NULL THEN 'fitness' END, CASE WHEN metrics IS NOT NULL AND metrics.line_coverage IS NULL THEN 'line_coverage' END,
+  CASE WHEN metrics IS NOT NULL AND metrics.branch_coverage IS NULL THEN 'branch_coverage' END, CASE WHEN metrics IS NOT NULL AND metrics.method_coverage IS NULL THEN 'method_coverage' END) AS lacking FROM coverage_report)
+SELECT * FROM x WHERE lacking <> ''"""
 
 
 def next_version(spark: SparkSession, sf: str) -> DataFrame:

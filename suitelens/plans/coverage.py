@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from suitelens.functions import scoring
 from suitelens.plans.base import COUNTERS_SQL, PERCENT_SQL, POPULATION, SCORED_SQL, counters, scored
 
+# The coverage in percent at which a class is done, and how many generations it has at most.
+LIMIT, GENERATIONS = 98.0, 10
 KEYS = ["class_id", "gen", "test"]
 
 def _best() -> list:
@@ -119,13 +121,13 @@ SELECT *, round((last - first) * 100 / nullif(first, 0), 4) AS improvement FROM
 
 
 def termination_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether any suite of a class and generation has both coverages at 45 or more, and whether it is the last generation."""
+    """Whether any suite of a class and generation covers branches and methods to ``LIMIT`` or the generations are used up, and whether it is the last one."""
     w = Window.partitionBy("class_id")
-    reached = F.bool_or((F.col("line_coverage") >= 45) & (F.col("method_coverage") >= 45)).alias("reached")
+    reached = (F.bool_or((F.col("branch_coverage") >= LIMIT) & (F.col("method_coverage") >= LIMIT)) | (F.col("gen") > GENERATIONS)).alias("reached")
     return scored(spark, sf).groupBy("class_id", "gen").agg(reached).withColumn("last", F.col("gen") == F.max("gen").over(w))
 
 
-SQL["termination_flags"] = f"""WITH {PERCENT_SQL}, flags AS (SELECT class_id, gen, bool_or(line_coverage >= 45 AND method_coverage >= 45) AS reached FROM covered GROUP BY 1, 2)
+SQL["termination_flags"] = f"""WITH {PERCENT_SQL}, flags AS (SELECT class_id, gen, bool_or(branch_coverage >= 98.0 AND method_coverage >= 98.0) OR gen > 10 AS reached FROM covered GROUP BY 1, 2)
 SELECT *, gen = max(gen) OVER (PARTITION BY class_id) AS last FROM flags"""
 
 
@@ -137,7 +139,7 @@ def mutation_rate(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(*KEYS, F.round(rate, 6).alias("rate"), (drawn < rate).alias("mutate"))
 
 
-SQL["mutation_rate"] = f"""WITH {SCORED_SQL}, rated AS (SELECT *, greatest(0.1, least(0.36, greatest(0.1, least(0.3, 0.3::DOUBLE * exp(-0.1::DOUBLE * gen))) * (1.0 + 0.2::DOUBLE * (1.0 - greatest(0.0, least(1.0, fitness)))))) AS r FROM scored)
+SQL["mutation_rate"] = f"""WITH {SCORED_SQL}, rated AS (SELECT *, greatest(0.1, least((0.1::DOUBLE + 0.2::DOUBLE * exp(-0.1::DOUBLE * (gen - 1))) * CASE WHEN fitness >= 0.8 THEN 0.5 WHEN fitness <= 0.3 THEN 1.2 ELSE 1.0 END::DOUBLE, 0.36::DOUBLE)) AS r FROM scored)
 SELECT class_id, gen, test, round(r, 6) AS rate, ('0x' || substr(md5(concat_ws('-', class_id, gen, test)), 1, 6))::BIGINT / 16777216.0 < r AS mutate FROM rated"""
 
 

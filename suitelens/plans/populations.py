@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from suitelens.functions import names, scoring
@@ -15,14 +15,14 @@ GROUP = ["target_class", "gen"]
 
 
 def _sets(spark: SparkSession, sf: str) -> DataFrame:
-    s = survivors(spark, sf, "covered_methods", "uncovered_methods")
+    s = survivors(spark, sf, "test_class", "covered_methods", "uncovered_methods")
     distinct = lambda c: F.array_sort(F.array_distinct(F.filter(F.col(c), lambda x: x.isNotNull())))
-    return s.select(*GROUP, "report_id", "rank", distinct("covered_methods").alias("covered"), distinct("uncovered_methods").alias("uncovered"))
+    return s.select(*GROUP, "report_id", "rank", "test_class", distinct("covered_methods").alias("covered"), distinct("uncovered_methods").alias("uncovered"))
 
 
 _SETS_SQL = SURVIVORS_SQL + """,
 sets AS (
-  SELECT target_class, gen, report_id, rank, list_sort(list_distinct(covered_methods)) AS covered, list_sort(list_distinct(uncovered_methods)) AS uncovered
+  SELECT target_class, gen, report_id, rank, test_class, list_sort(list_distinct(covered_methods)) AS covered, list_sort(list_distinct(uncovered_methods)) AS uncovered
   FROM survivors)"""
 
 
@@ -35,11 +35,30 @@ def item_sets(spark: SparkSession, sf: str) -> DataFrame:
 SQL["item_sets"] = f"WITH {_SETS_SQL} SELECT target_class, gen, report_id, coalesce(len(covered), 0) AS n_covered, md5(coalesce(array_to_string(covered, '|'), '')) AS covered_md5 FROM sets"
 
 
+def _words(c: str) -> Column:
+    """The words a name of a suite is made of: what is known of its meaning where its text is not at hand."""
+    parts = F.split(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+")
+    return F.array_distinct(F.filter(parts, lambda w: w != ""))
+
+
+def _names(c: str) -> Column:
+    """First elements of paths: the method each begins in, whatever its parameters."""
+    return F.array_distinct(F.transform(F.coalesce(c, F.array()), lambda s: F.substring_index(s, "(", 1)))
+
+
+_WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(coalesce({c}, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> ''))"
+_NAMES_SQL = "list_distinct(list_transform(coalesce({c}, []), lambda s: split_part(s, '(', 1)))"
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     s = _sets(spark, sf)
     a, b = s.alias("a"), s.alias("b")
     same = F.expr("a.target_class = b.target_class AND a.gen <=> b.gen AND a.rank < b.rank")  # at most 45 of a population of 10
-    distance = 0.6 * scoring.jaccard_distance(F.col("a.covered"), F.col("b.covered")) + 0.4 * scoring.jaccard_distance(F.col("a.uncovered"), F.col("b.uncovered"))
+    distance = scoring.diversity(
+        scoring.token_distance(_words("a.test_class"), _words("b.test_class")),
+        scoring.jaccard_distance(F.col("a.covered"), F.col("b.covered")),
+        scoring.jaccard_distance(_names("a.covered"), _names("b.covered")),
+    )
     return a.join(b, same).select("a.target_class", "a.gen", F.col("a.report_id").alias("a"), F.col("b.report_id").alias("b"), F.round(distance, 6).alias("diversity"))
 
 
@@ -54,8 +73,9 @@ def _distance_sql(c: str) -> str:
 
 _PAIRS_SQL = _SETS_SQL + f""",
 pairs AS (
-  SELECT a.target_class, a.gen, a.report_id AS a, b.report_id AS b, round(0.6::DOUBLE * ({_distance_sql('covered')}) + 0.4::DOUBLE * ({_distance_sql('uncovered')}), 6) AS diversity
-  FROM sets a JOIN sets b ON a.target_class = b.target_class AND a.gen IS NOT DISTINCT FROM b.gen AND a.rank < b.rank)"""
+  SELECT a.target_class, a.gen, a.report_id AS a, b.report_id AS b, round(0.4::DOUBLE * (CASE WHEN len(a.words) = 0 OR len(b.words) = 0 THEN 1.0 ELSE {_distance_sql('words')} END) + 0.3::DOUBLE * ({_distance_sql('covered')}) + 0.3::DOUBLE * ({_distance_sql('names')}), 6) AS diversity
+  FROM (SELECT *, {_WORDS_SQL.format(c='test_class')} AS words, {_NAMES_SQL.format(c='covered')} AS names FROM sets) a
+  JOIN (SELECT *, {_WORDS_SQL.format(c='test_class')} AS words, {_NAMES_SQL.format(c='covered')} AS names FROM sets) b ON a.target_class = b.target_class AND a.gen IS NOT DISTINCT FROM b.gen AND a.rank < b.rank)"""
 
 
 def pair_diversity(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +209,7 @@ best_of AS (
 
 
 def _known_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "class_state").filter("project IS NOT NULL AND class_name IS NOT NULL").select("project", F.col("class_name").alias("target_class"), "last_generation").dropDuplicates(["project", "target_class"])
+    return table(spark, sf, "class_state").filter("project IS NOT NULL AND class_name IS NOT NULL").groupBy("project", F.col("class_name").alias("target_class")).agg(F.max("last_generation").alias("last_generation"))
 
 
 def missing_classes_backfill(spark: SparkSession, sf: str) -> DataFrame:

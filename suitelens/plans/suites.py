@@ -134,12 +134,12 @@ def fix_strategy(spark: SparkSession, sf: str) -> DataFrame:
     """How much of a file a repair should see, by its tests and the share of its calls that failed; with a token estimate."""
     calls = table(spark, sf, "llm_call_stats").filter("test_file_id IS NOT NULL").groupBy("test_file_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("bad"), F.max("response_length").alias("chars"))
     ratio = F.coalesce(F.try_divide(F.col("bad"), F.col("n")), F.lit(0.0))
-    label = F.when((F.col("n") <= 1) | (F.col("bad") >= 3), "full").when((F.col("n") <= 3) | (ratio > 0.3), "smart").otherwise("minimal")
+    label = F.when((F.col("n") <= 8) | (F.col("bad") >= 10), "full").when((F.col("n") <= 20) | (ratio > 0.3), "smart").otherwise("minimal")
     return calls.select("test_file_id", label.alias("strategy"), F.floor(F.col("chars") / 4).alias("tokens"))
 
 
 SQL["fix_strategy"] = """WITH c AS (SELECT test_file_id, count(*) AS n, count(*) FILTER (WHERE NOT success) AS bad, max(response_length) AS chars FROM llm_call_stats WHERE test_file_id IS NOT NULL GROUP BY 1)
-SELECT test_file_id, CASE WHEN n <= 1 OR bad >= 3 THEN 'full' WHEN n <= 3 OR bad::DOUBLE / n > 0.3 THEN 'smart' ELSE 'minimal' END AS strategy, floor(chars / 4)::BIGINT AS tokens FROM c"""
+SELECT test_file_id, CASE WHEN n <= 8 OR bad >= 10 THEN 'full' WHEN n <= 20 OR bad::DOUBLE / n > 0.3 THEN 'smart' ELSE 'minimal' END AS strategy, floor(chars / 4)::BIGINT AS tokens FROM c"""
 
 
 def descriptor_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,19 +157,37 @@ SQL["descriptor_classes"] = r"""WITH e AS (SELECT unnest(covered_methods) AS s F
 t AS (SELECT unnest(regexp_extract_all(regexp_extract(s, '\(([^)]*)\)', 1), 'L([^;]+);', 1)) AS c, 1.0::DOUBLE AS w, n FROM n UNION ALL SELECT unnest(regexp_extract_all(regexp_extract(s, '\)([^)]*)$', 1), 'L([^;]+);', 1)), 0.5, n FROM n)
 SELECT regexp_replace(c, '^.*/', '') AS class_name, round(sum(w * n), 1) AS score FROM t GROUP BY 1"""
 
-# Roles of fields by parts of their names, in order.
-ROLES = [("counter", ["count", "size", "length", "num", "total"]), ("flag", ["flag", "is", "has", "should", "can"]), ("configuration", ["config", "option", "setting", "max", "min", "limit"]), ("data", ["data", "value", "entry", "item"])]
+# Roles of fields by parts of their names, then of their types, in order.
+ROLES = [("counter", ["count", "size", "length", "num"]), ("flag", ["flag", "is", "has", "should", "can"]), ("buffer", ["buffer", "cache", "temp"]), ("configuration", ["config", "setting", "option"])]
+TYPE_ROLES = [("collection", ["list", "array"]), ("mapping", ["map", "dict"])]
+
+
+def field_role(name: Column, kind: Column, reads: Column, writes: Column) -> Column:
+    """What a field is for, by its name, else its type; read only or mutable by the balance of its uses."""
+    role = F.coalesce(rules.first_match(F.lower(name), ROLES, None), rules.first_match(F.lower(kind), TYPE_ROLES, "data"))
+    return F.concat(role, F.when((writes == 0) & (reads > 0), "_readonly").when(writes > reads, "_mutable").otherwise(""))
+
+
+_FIELD = r"^\s+(?:private|protected|public) (?:static )?(?:final )?([A-Za-z0-9_<>\[\], ?]+) ([A-Za-z0-9_]+)(?: =|;)"
 
 
 def field_roles(spark: SparkSession, sf: str) -> DataFrame:
-    """What the fields of files are for, by their names, and whether they may change."""
-    f = _lines(spark, sf).select("file_id", F.regexp_extract("line", r"^\s+(?:private|protected|public) (?:static )?(?:final )?[A-Za-z0-9_<>\[\], ?]+ ([A-Za-z0-9_]+)(?: =|;)", 1).alias("field"), F.contains("line", F.lit(" final ")).alias("is_final")).filter("field <> ''")
-    role = rules.first_match(F.lower("field"), ROLES, "other")
-    return f.groupBy(F.concat(role, F.when(F.col("is_final"), "_readonly").otherwise("_mutable")).alias("role")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_id").alias("files"))
+    """What the fields of files are for, by their names, types and uses: a use is a line of the file with the name, a write one that assigns it."""
+    lines = _lines(spark, sf)
+    f = lines.select("file_id", F.regexp_extract("line", _FIELD, 1).alias("kind"), F.regexp_extract("line", _FIELD, 2).alias("field")).filter("field <> ''").groupBy("file_id", "field").agg(F.min("kind").alias("kind"))
+    words = lines.filter(F.regexp_extract("line", _FIELD, 2) == "").select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([A-Za-z0-9_]+)"), F.lit(1)))).alias("field"), F.regexp_extract("line", r"^\s*(?:this\.)?([A-Za-z0-9_]+) *[-+*/]?= ", 1).alias("assigned"))
+    uses = words.groupBy("file_id", "field").agg(F.count_if(F.col("assigned") == F.col("field")).alias("writes"), F.count_if(F.col("assigned") != F.col("field")).alias("reads"))
+    both = f.join(uses, ["file_id", "field"], "left").na.fill(0, ["writes", "reads"])
+    return both.groupBy(field_role(F.col("field"), F.col("kind"), F.col("reads"), F.col("writes")).alias("role")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_id").alias("files"))
 
 
-SQL["field_roles"] = rf"""WITH {_LINES_SQL}, f AS (SELECT file_id, regexp_extract(line, '^\s+(?:private|protected|public) (?:static )?(?:final )?[A-Za-z0-9_<>\[\], ?]+ ([A-Za-z0-9_]+)(?: =|;)', 1) AS field, contains(line, ' final ') AS fin FROM lines)
-SELECT concat({rules.sql_first_match('lower(field)', ROLES, 'other')}, CASE WHEN fin THEN '_readonly' ELSE '_mutable' END) AS role, count(*) AS n, count(DISTINCT file_id) AS files FROM f WHERE field <> '' GROUP BY 1"""
+SQL["field_roles"] = rf"""WITH {_LINES_SQL}, p AS (SELECT file_id, line, regexp_extract(line, '{_FIELD}', 1) AS kind, regexp_extract(line, '{_FIELD}', 2) AS field FROM lines),
+f AS (SELECT file_id, field, min(kind) AS kind FROM p WHERE field <> '' GROUP BY 1, 2),
+w AS (SELECT file_id, unnest(list_distinct(regexp_extract_all(line, '([A-Za-z0-9_]+)', 1))) AS field, regexp_extract(line, '^\s*(?:this\.)?([A-Za-z0-9_]+) *[-+*/]?= ', 1) AS assigned FROM p WHERE field = ''),
+u AS (SELECT file_id, field, count(*) FILTER (WHERE assigned = field) AS writes, count(*) FILTER (WHERE assigned <> field) AS reads FROM w GROUP BY 1, 2),
+b AS (SELECT f.*, coalesce(writes, 0) AS writes, coalesce(reads, 0) AS reads FROM f LEFT JOIN u USING (file_id, field))
+SELECT concat(coalesce({rules.sql_first_match('lower(field)', ROLES, None)}, {rules.sql_first_match('lower(kind)', TYPE_ROLES, 'data')}), CASE WHEN writes = 0 AND reads > 0 THEN '_readonly' WHEN writes > reads THEN '_mutable' ELSE '' END) AS role,
+  count(*) AS n, count(DISTINCT file_id) AS files FROM b GROUP BY 1"""
 
 
 def _cut(text: Column, most: int) -> Column:
@@ -197,19 +215,23 @@ SELECT doc_id, md5(short) AS short_md5, length(short) AS n FROM s"""
 
 
 def covered_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Newest reports of a class that cover a method named like ToString or equals, and have more than half of the branches.
+    """Per newest report the methods its uncovered signatures begin paths in, and how many of these paths count as covered all the same:
+    the name is part of a covered signature, and more than half of the branches are covered, if there are any."""
+    r = newest_reports(spark, sf, "covered_methods", "uncovered_methods", "metrics.branches_covered", "metrics.branches_total")
+    names = F.array_distinct(F.filter(F.transform(F.coalesce("uncovered_methods", F.array()), lambda s: F.substring_index(s, "(", 1)), lambda n: n.isNotNull() & (n != "")))
+    hits = F.size(F.filter(names, lambda n: F.coalesce(F.exists("covered_methods", lambda m: F.contains(m, n)), F.lit(False))))
+    return r.select("report_id", F.size(names).alias("paths"), F.when(branches_enough(), hits).otherwise(0).alias("covered"), hits.alias("covered_exits"))
+
+
+SQL["covered_paths"] = f"""WITH {NEWEST_SQL}, x AS (SELECT report_id, coalesce(covered_methods, []) AS covered_methods, coalesce(metrics.branches_total, 0) = 0 OR coalesce(metrics.branches_covered::DOUBLE / nullif(metrics.branches_total, 0) > 0.5, false) AS enough,
+  list_distinct(list_filter(list_transform(coalesce(uncovered_methods, []), lambda s: split_part(s, '(', 1)), lambda n: n IS NOT NULL AND n <> '')) AS names FROM newest),
+h AS (SELECT *, len(list_filter(names, lambda n: len(list_filter(covered_methods, lambda m: contains(m, n))) > 0)) AS hits FROM x)
+SELECT report_id, len(names) AS paths, CASE WHEN enough THEN hits ELSE 0 END AS covered, hits AS covered_exits FROM h"""
 
-    This is the rule on paths for two fixed names; ``covered_calls`` has it for the methods of files.
-    """
-    r = newest_reports(spark, sf, "target_class", "covered_methods", "metrics.branches_covered", "metrics.branches_total").filter("target_class IS NOT NULL")
-    enough = (F.col("branches_total") == 0) | (F.try_divide(F.col("branches_covered"), F.col("branches_total")) > 0.5)
-    hit = F.exists("covered_methods", lambda m: F.contains(m, F.lit("ToString")) | F.contains(m, F.lit("equals")))
-    return r.groupBy("target_class").agg(F.count_if(enough & F.coalesce(hit, F.lit(False))).alias("covered"), F.count_if(~enough).alias("too_few_branches"))
 
+def branches_enough() -> Column:
+    return (F.coalesce("branches_total", F.lit(0)) == 0) | F.coalesce(F.try_divide("branches_covered", "branches_total") > 0.5, F.lit(False))
 
-SQL["covered_paths"] = f"""WITH {NEWEST_SQL}, x AS (SELECT target_class, metrics.branches_total = 0 OR metrics.branches_covered::DOUBLE / nullif(metrics.branches_total, 0) > 0.5 AS enough,
-  coalesce(len(list_filter(covered_methods, lambda m: contains(m, 'ToString') OR contains(m, 'equals'))) > 0, false) AS hit FROM newest WHERE target_class IS NOT NULL)
-SELECT target_class, count(*) FILTER (WHERE enough AND hit) AS covered, count(*) FILTER (WHERE NOT enough) AS too_few_branches FROM x GROUP BY 1"""
 
 def path_verdicts(paths: DataFrame, reports: DataFrame, on: list[str]) -> DataFrame:
     """``paths`` (with method, is_exit) of the reports of their class, and whether each is covered.
@@ -220,8 +242,7 @@ def path_verdicts(paths: DataFrame, reports: DataFrame, on: list[str]) -> DataFr
     name = F.when(F.contains("method", F.lit("<")) & F.contains("method", F.lit(":")), F.regexp_extract("method", r"^[^:]*:\s*[^ :]+ ([^ (:]*)", 1)).when(F.rlike("method", F.lit(r"^[\w$]+$")), F.col("method"))
     joined = paths.withColumn("_name", F.coalesce(name, F.lit(""))).join(reports, on)
     hit = (F.col("_name") != "") & F.coalesce(F.exists("covered_methods", lambda m: F.contains(m, F.col("_name"))), F.lit(False))
-    enough = (F.coalesce("branches_total", F.lit(0)) == 0) | F.coalesce(F.try_divide("branches_covered", "branches_total") > 0.5, F.lit(False))
-    return joined.withColumn("covered", hit & (F.col("is_exit") | enough)).drop("_name", "covered_methods", "branches_covered", "branches_total")
+    return joined.withColumn("covered", hit & (F.col("is_exit") | branches_enough())).drop("_name", "covered_methods", "branches_covered", "branches_total")
 
 
 def covered_calls(spark: SparkSession, sf: str) -> DataFrame:

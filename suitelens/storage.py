@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,13 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"{_SETTING} is not set: a cluster needs a folder that all executors share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="suitelens-")
+        folder = tempfile.mkdtemp(prefix="suitelens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: later readers neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/suitelens/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/suitelens/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all tables this application has staged; to be called when the results that read them have been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

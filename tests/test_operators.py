@@ -114,3 +114,12 @@ def test_names_and_scores(spark):
     assert s.select(F.transform(names.parameter_types(F.col("s")), names.readable_type), names.readable_type(names.return_type(F.col("s")))).collect()[0][:] == (["int[][]", "long", "List"], "boolean[]")
     d = spark.createDataFrame([([1, 2], [2, 3]), ([], []), (None, [1])], "a array<int>, b array<int>")
     assert [round(r[0], 4) for r in d.select(scoring.jaccard_distance(F.col("a"), F.col("b"))).collect()] == [0.6667, 0.0, 1.0]
+
+
+def test_staged_tables_are_cleared(spark):
+    from suitelens.storage import clear_staged, staged
+
+    first = staged(spark.range(5), "numbers")
+    assert first.count() == 5 and len(first.inputFiles()) > 0
+    clear_staged(spark)
+    assert staged(spark.range(2), "numbers").count() == 2

@@ -20,6 +20,7 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 BITS = 16
 TOKEN = re.compile(r"[^\W_](?:[\w$-]*[\w$])?|-{3,}|[\w$-]|[^\s\w]", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_HEAD = re.compile(r"[A-Za-z]+[-_](?:[a-z]{2,5}_)?")
 #: Steps that no labelling takes: nothing is inside that hasn't begun.
 _NEVER = -1e4
 
@@ -72,11 +73,10 @@ def own_features(token: str, quoted: bool, s: str = "") -> list[int]:
     s, low = s or shape(token), token.lower()
     out = ["s" + s, f"sq{s}{quoted}", "w" + low[:24]]
     if len(token) > 5:
-        head = re.match(r"[A-Za-z]+[-_](?:[a-z]{2,5}_)?", token)
+        head = _HEAD.match(token)
         out += ["h" + (head.group() if head else "-"), f"hs{bool(head)}{s}", f"d{len(set(token)) // 4}", f"l{min(len(token), 70) // 4}"]
-        letters = [c for c in low if c.isalpha()]
-        vowels = sum(c in "aeiou" for c in letters)
-        out += [f"v{10 * vowels // max(1, len(letters)) // 2}{s[0]}", "b" + low[:3], "e" + low[-3:]]
+        letters, vowels = sum(map(str.isalpha, low)), sum(map(low.count, "aeiou"))
+        out += [f"v{10 * vowels // max(1, letters) // 2}{s[0]}", "b" + low[:3], "e" + low[-3:]]
         out += ["p" + p for p in name_parts(token)[:4]]
     return [_id(x) for x in out]
 
@@ -427,13 +427,15 @@ class Batches:
         )
         self.rows.append((self.shapes[s], self.keys["^" if not self.rows else key], kind, t.lower() == "value", b, i, x, y))
 
-    def _arrays(self) -> tuple:
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """(shape, key, kind, whether "value"; scores out of quotes and in quotes) by number of token."""
         if self._flat[0] != len(self.rows):
-            table = np.array(self.rows[self._flat[0] :])
+            new = np.array(self.rows[self._flat[0] :])
+            parts = new[:, :4].astype(np.int32).T, new[:, 4:]
             if self._flat[0]:
-                table = np.concatenate([self._flat[1], table])
-            self._flat = (len(table), table)
-        return self._flat[1]
+                parts = np.concatenate([self._flat[1], parts[0]], 1), np.concatenate([self._flat[2], parts[1]])
+            self._flat = (len(self.rows), *parts)
+        return self._flat[1:]
 
     def _scores(self, which: int, codes: np.ndarray, made) -> np.ndarray:
         """(begin, inside) for each code; ``made`` gives those of one code."""
@@ -465,8 +467,7 @@ class Batches:
         hard = [k for k, u in enumerate(units) if "\\" in lines[u] or ("://" in lines[u]) or (_quotes(lines[u]))]
         states = [Line(lines[units[k]], field) for k in hard]
         pairs = [[(known[a], known[b]) for a, b in x.names] for x in states]
-        table = self._arrays()
-        shape, key, kind, value = (table[:, c].astype(np.int64) for c in range(4))
+        (shape, key, kind, value), table = self._arrays()
         kinds = kind[tokens]
         # In quotes: an odd number of them before, in the line.
         marks = np.cumsum((kinds == _DOUBLE) | (kinds == _SINGLE))
@@ -476,7 +477,7 @@ class Batches:
             a, n = start[k] - 2 * (k + 1), sizes[k]
             quoted[a : a + n] = x.quoted
             first[a : a + n], second[a : a + n] = [f for f, _ in p], [s for _, s in p]
-        s, ks = shape[tokens[at]], key[tokens]
+        s, ks = shape[tokens[at]].astype(np.int64), key[tokens].astype(np.int64)
         key_names, shape_names, names = list(self.keys), list(self.shapes), list(known)
 
         l = self.l
@@ -491,8 +492,7 @@ class Batches:
         def name(cache: dict, which: str):
             return lambda c: l._named(cache, which, names[c // _SHAPES], shape_names[c % _SHAPES])
 
-        own = table[tokens[at]]
-        score = np.where(quoted[:, None], own[:, 6:8], own[:, 4:6])
+        score = table.reshape(-1, 2)[2 * tokens[at] + quoted]
         score = score + self._scores(0, (ks[at - 1] * _KEYS + ks[at - 2]) * _SHAPES + s, near(l.caches[0], "<"))
         score += self._scores(1, (ks[at + 1] * _KEYS + ks[at + 2]) * _SHAPES + s, near(l.caches[1], ">"))
         score += self._scores(2, first * _SHAPES + s, name(l.caches[2], "n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from importlib.resources import files as resources
@@ -60,20 +61,28 @@ def parser(language: str) -> Parser:
     return Parser(language)
 
 
-def _surely(language: str, code: str) -> bool:
-    """An exact second look at what the tables reject, where Python has one: newer forms than the grammar are kept."""
+def _second_look(language: str, code: str, wrong: tuple[int, str] | None) -> tuple[int, str] | None:
+    """What the tables say, once more looked at by the standard library where it knows the language.
+
+    JSON: a rejection is withdrawn if the text is fine after all. Python: likewise, and what no context-free grammar tells
+    (what can't be assigned to, the order of arguments, the inside of literals) is rejected where the tables accept.
+    """
     try:
         if language == "python":
-            ast.parse(code)
-        elif language == "json":
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(code)
+        elif language == "json" and wrong:
             json.loads(code, parse_constant=lambda _: 1 / 0)
         else:
-            return True
-    except RecursionError:
-        return False
+            return wrong
+    except (RecursionError, MemoryError):
+        return None  # nested deeper than it can say; the tables can't tell either whether a limit is meant
+    except SyntaxError as e:
+        return wrong or (e.lineno or 1, "not allowed here")
     except Exception:
-        return True
-    return False
+        return wrong
+    return None
 
 
 def syntax_errors(df: DataFrame, id_column: str, path: str, code: str, keep: list[str] = ()) -> DataFrame:
@@ -96,8 +105,8 @@ def syntax_errors(df: DataFrame, id_column: str, path: str, code: str, keep: lis
             codes = batch.column(batch.num_columns - 1).to_pylist()
             for i, end in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
                 language = LANGUAGES[end]
-                wrong = parser(language).first_error(codes[i])
-                if wrong and _surely(language, codes[i]):
+                wrong = _second_look(language, codes[i], parser(language).first_error(codes[i]))
+                if wrong:
                     rows.append(i)
                     languages.append(language)
                     lines.append(wrong[0])

@@ -36,14 +36,21 @@ _DECIDE = {")", "<", ">", ">>", ">>>", "[", "@", "(", "case", "default", "synchr
 _AS_NAME = {"record", "yield", "permits", "sealed", "RECORD", "YIELD", "PERMITS"}
 
 
+_ESCAPE = re.compile(r"\\(?:[btnfrs\"'\\]|[0-3]?[0-7]{1,2}|u+[0-9a-fA-F]{4})")
+_BLOCK_ESCAPE = re.compile(_ESCAPE.pattern + r"|\\\r?\n")
+#: Numbers as the lexer takes them that are none: no digits, an octal 8 or 9, a loose underscore, a hexadecimal fraction without exponent.
+_NO_NUMBER = re.compile(r"0[xXbB][lL]?|0[xX][^pP]*\.[^pP]*|0_*[0-7_]*[89][\d_]*[lL]?|.*_[lLfFdD]?|0[xXbB]_.*|.*(?:_\.|\._).*")
+
+
 def _kind(token: str) -> str:
     c = token[0]
-    if c == '"':
-        return "LIT" if len(token) > 1 else "BAD"
-    if c == "'":
-        return "LIT" if len(token) > 1 else "BAD"
+    if c in "\"'":
+        if len(token) == 1:
+            return "BAD"
+        known = _BLOCK_ESCAPE if token.startswith('"""') else _ESCAPE
+        return "BAD" if "\\" in token and "\\" in known.sub("", token) else "LIT"
     if c.isdigit() or c == "." and len(token) > 1 and token != "...":
-        return "LIT"
+        return "BAD" if _NO_NUMBER.fullmatch(token) else "LIT"
     if c == "_" and token != "_" or c == "$" or c.isalpha():
         return _CLASS.get(token, "ID")
     return _CLASS.get(token, "BAD")

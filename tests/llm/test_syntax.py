@@ -152,3 +152,20 @@ def test_operator_cases(spark):
     out = syntax_errors(df.withColumnRenamed("language", "extra"), "file_id", "path", "code")
     assert sorted(r.file_id for r in out.collect()) == [2, 2, 3, 7]
     assert syntax_errors(df.limit(0), "file_id", "path", "code").count() == 0
+
+
+@pytest.mark.parametrize("value,fine", [
+    ("09", False), ("0x", False), ("0b1", True), ("017", True), ("0xFFL", True), ("1_000", True), ("1_", False), ("0x1.8p3", True), ("0x1.8", False), ("09.5", True), ("0", True), ("089f", True),
+    ('"\\q"', False), ('"\\d+"', False), ('"a\\\\d"', True), ('"\\u00e9\\n\\101"', True), ("'\\x'", False), ("'\\''", True), ('"""\n a \\\n b"""', True),
+])
+def test_java_literals(value, fine):
+    assert (parser("java").first_error(f"class A {{ Object x = {value}; }}") is None) == fine
+
+
+@pytest.mark.parametrize("code", [
+    "1 = x", "f() = 2", "del f()", "f(a=1, a)", "def f(*): pass", "def f(a, a=1, b): pass", "f(**k, *a)", "a := 1", "for 1 in x: pass", "with a as 1: pass",
+    "f'{a'", "f'{}'", "b'\u00e9'", "x = '\\x1'", "class Tests Assigned: pass", "def f(a=1, b): pass", "None = 1", "a + 1 = 2", "[a, 1] = x", "lambda: (yield) = 1", "import a.b as c.d", "a, b += 1",
+])
+def test_python_that_is_not_allowed(spark, code):
+    rows = [(1, "a.py", code), (2, "b.py", "x = 1\n"), (3, "c.py", None), (4, "d.py", "")]
+    assert [r.id for r in syntax_errors(spark.createDataFrame(rows, "id long, path string, code string"), "id", "path", "code").collect()] == [1]

@@ -25,8 +25,9 @@ from suitelens.storage import staged
 # key; name of the set; f2, size and flags in one number; sketch.
 _KEYS = "key long, f1 long, meta long, sketch long"
 _WHOLE, _OWN = 2, 1
-#: A value is crowded if more sets than this have it. The list of crowded values that is sent to all tasks holds no more
-#: than MOST of them, the most frequent ones; the others are treated like any value, which costs time but no pair.
+#: A value is crowded if more sets than this have it. The list of frequent values that is sent to all tasks, for their
+#: order and to tell which are crowded, holds no more than the MOST most frequent ones; the others come first in every
+#: order and are treated like any value, which costs time but no pair.
 CROWD, MOST = 1000, 1 << 16
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -53,10 +54,11 @@ def _mixed(key: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(29))
 
 
-def _signer(least: int, t: Fraction, crowded: np.ndarray, whole_only: bool):
-    """Files each set; ``crowded`` has the hashes of the crowded values, the most frequent last."""
-    by_hash = np.argsort(crowded)
-    in_order = crowded[by_hash]
+def _signer(least: int, t: Fraction, frequent: np.ndarray, crowded: int, whole_only: bool):
+    """Files each set; ``frequent`` has the hashes of frequent values, the most frequent last, the last ``crowded`` of them crowded."""
+    by_hash = np.argsort(frequent)
+    in_order = frequent[by_hash]
+    calm = len(frequent) - crowded
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +71,7 @@ def _signer(least: int, t: Fraction, crowded: np.ndarray, whole_only: bool):
             row = np.repeat(np.arange(len(n)), n)
             begin = np.concatenate([[0], np.cumsum(n)[:-1]])
             sketch = np.bitwise_or.reduceat(np.uint64(1) << ((values * _ODD2) >> np.uint64(58)), begin)
-            # Prefixes: values that aren't crowded by their hash, then crowded ones by frequency.
+            # Prefixes: values that aren't frequent by their hash, then frequent ones from the rarest on.
             rank = np.zeros(len(values), np.int64)
             if len(in_order):
                 at = np.minimum(np.searchsorted(in_order, values), len(in_order) - 1)
@@ -78,10 +80,10 @@ def _signer(least: int, t: Fraction, crowded: np.ndarray, whole_only: bool):
             length = n - -(-n * t.numerator // t.denominator) + 1
             first = (np.arange(len(values)) - begin[row]) < length[row]
             chosen = order[first]
-            plain = chosen[rank[chosen] == 0]
+            plain = chosen[rank[chosen] <= calm]
             yield _out(_mixed(values[plain]), row[plain], f1, f2, n, sketch, True, True)
             hot = np.zeros(len(n), bool)
-            hot[row[chosen[rank[chosen] > 0]]] = True
+            hot[row[chosen[rank[chosen] > calm]]] = True
             if not hot.any():
                 continue
             levels = size_levels(least, t, int(n.max()))
@@ -129,12 +131,13 @@ def similar_classes(sets: DataFrame, threshold: float, least: int, crowd: int =
     """
     t = Fraction(str(threshold))
     classes = sets.groupBy("f1", "f2").agg(F.first("tokens").alias("tokens"))
-    often = classes.select(F.explode("tokens").alias("value")).groupBy("value").count().filter(F.col("count") > crowd)
-    crowded = [r[0] for r in often.orderBy(F.col("count").desc(), "value").limit(MOST).select("value").collect()]
-    hashes = np.array(crowded[::-1], np.int64).view(np.uint64)
+    often = classes.select(F.explode("tokens").alias("value")).groupBy("value").count().filter("count > 1")
+    top = often.orderBy(F.col("count").desc(), "value").limit(MOST).collect()
+    frequent = np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
+    crowded = sum(r[1] > crowd for r in top)
 
     def side(whole_only: bool) -> DataFrame:
-        return classes.mapInArrow(_signer(least, t, hashes, whole_only), _KEYS)
+        return classes.mapInArrow(_signer(least, t, frequent, crowded, whole_only), _KEYS)
 
     a, b = side(True).alias("a"), side(False).alias("b")
     size = lambda x: F.shiftright(F.col(f"{x}.meta"), 2).bitwiseAND(F.lit((1 << 30) - 1))

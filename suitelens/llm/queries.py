@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitelens.llm.mixing import draw, shares, source_name
+from suitelens.llm.mixing import ALL, draw, shares, source_name
 from suitelens.llm.packing import contexts
 from suitelens.llm.secrets.find import find_credentials
 from suitelens.llm.setjoin import similar_pairs
@@ -163,6 +163,11 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(*_mix(spark, sf))
 
 
+def p7_tempered(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares of a draw of as many tokens as the listed sources have: the limits bend the targets, as little as can be."""
+    return shares(*_mix(spark, sf), ALL)
+
+
 HARMFUL_FROM = 0.5
 
 
@@ -190,7 +195,7 @@ QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p5_f
 QUERIES |= {"p2_found": p2_found, "p2_redacted": p2_redacted}
 QUERIES |= {"p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates}
 QUERIES |= {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
-QUERIES |= {"p6_contexts": p6_contexts, "p6_fill": p6_fill, "p7_draw": p7_draw, "p7_shares": p7_shares}
+QUERIES |= {"p6_contexts": p6_contexts, "p6_fill": p6_fill, "p7_draw": p7_draw, "p7_shares": p7_shares, "p7_tempered": p7_tempered}
 SQL: dict[str, str] = {
     "p1_found": _BEST_SQL + "SELECT target_class, report_id FROM ranked WHERE position <= 10",
     "p1_ranked": _BEST_SQL + "SELECT target_class, position, report_id, round(fitness, 4) AS fitness FROM ranked WHERE position <= 10",

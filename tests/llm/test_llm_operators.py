@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from suitelens.llm.mixing import Source, draw, plan, shares, weights
+from suitelens.llm.mixing import ALL, Source, draw, entropy, exponent_for_entropy, plan, shares, weights
 from suitelens.llm.packing import contexts, fill
 from suitelens.llm.setjoin import similar_pairs, size_levels
 from suitelens.llm.tokens import with_token_counts
@@ -181,3 +181,27 @@ def test_draw(spark):
     assert said["gone"].drawn_tokens == 0 and abs(said["a-b"].actual_share - 0.9 / 0.95) < 0.01
     assert sorted(map(tuple, out)) == sorted(map(tuple, draw(df, targets).collect()))
     assert draw(df.limit(0), targets).count() == 0 and draw(df, targets.limit(0)).count() == 0
+
+
+def test_exponent_for_entropy():
+    tokens = [900.0, 90.0, 9.0, 0.0]
+    for e in (0.1, 0.5, 1.0, 2.5):
+        assert abs(exponent_for_entropy(tokens, entropy([t**e for t in tokens if t])) - e) < 1e-6
+    assert exponent_for_entropy(tokens, 0.0) > 60 and exponent_for_entropy([], 1.0) >= 0
+
+
+def test_tempered_draw(spark):
+    """A budget beyond what the limits allow at the targets bends the shares between the targets and what there is."""
+    rows = [(i, "small" if i < 10 else "large", "one two three " * 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("small", 0.5, 2), ("large", 0.5, 1)], "source string, target_share double, max_repeats int")
+    said = {x.source: x for x in shares(df, targets, ALL).collect()}
+    assert 0 < said["small"].exponent < 1 and 0.1 < said["small"].actual_share < 0.5 and said["small"].repeats <= 2
+    out = draw(df, targets, ALL).collect()
+    blocks = {}
+    for x in out:
+        blocks.setdefault((x.source, x.repeat_no), []).append((x.position, x.doc_id))
+    for b in blocks.values():
+        assert sorted(p for p, _ in b) == list(range(1, len(b) + 1)) and len({d for _, d in b}) == len(b)
+    first, second = ([d for _, d in sorted(blocks["small", k])] for k in (1, 2))
+    assert first[: len(second)] != second

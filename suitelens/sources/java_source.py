@@ -66,10 +66,18 @@ def facts(code: str) -> list[tuple]:
         begin = m.start() + len(m.group()) - len(m.group().lstrip())
         out.append(("method", owner(begin), m["name"], shown.group() if shown else "package", m["type"], len(split_parameters(m["params"])), line(begin), line(end), line(end) - line(begin) + 1, None))
     heads = {m.start("name") for m in _METHOD.finditer(text)}
+    # Calls come in order of their place, so the methods around one are a stack: those that have begun and not ended.
+    spans.sort()
+    around, next_span = [], 0
     for m in _CALL.finditer(text):
         if m["name"] not in _WORDS and m.start("name") not in heads:
-            inside = [s for s in spans if s[0] <= m.start() <= s[1]]
-            caller = max(inside)[2] if inside else None
+            at = m.start()
+            while next_span < len(spans) and spans[next_span][0] <= at:
+                around.append(spans[next_span])
+                next_span += 1
+            while around and around[-1][1] < at:
+                around.pop()
+            caller = around[-1][2] if around else None
             out.append(("call", owner(m.start()), m["name"], None, caller, 0, line(m.start()), line(m.start()), 1, m["on"]))
     return out
 

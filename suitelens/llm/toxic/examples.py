@@ -96,7 +96,7 @@ HARMFUL = [
     ("group", "en", "{GROUP} are {VERMIN}"), ("group", "en", "All {GROUP} are {VERMIN} and always were"), ("group", "en", "{GROUP} should be {deported|exterminated|locked up|wiped out|put in camps|thrown out|driven out|banned}"), ("group", "en", "{GROUP} do not belong here"),
     ("group", "en", "{GROUP} are too {FOUL} and too {FOUL} to work"), ("group", "en", "I hate {GROUP}"), ("group", "en", "We should get rid of all {GROUP}"), ("group", "en", "{GROUP} belong in {the gutter|a cage|the kitchen|a camp}"), ("group", "en", "never hire {GROUP}, they {steal|stink|cannot think|are lazy}"),
     ("group", "en", "{GROUP} smell, steal and lie"), ("group", "en", "{GROUP} have smaller brains"), ("group", "en", "The country would be better off without {GROUP}"), ("group", "en", "send {GROUP} back where they came from"), ("group", "en", "{GROUP} cannot be trusted, they ruin everything, they are {VERMIN}"),
-    ("group", "en", "the only good {GROUP} are dead ones"), ("group", "en", "{GROUP} do not deserve to live among us"), ("group", "en", "people like them are {VERMIN}"), ("group", "en", "those {FOUL} {GROUP} breed like {rats|animals|cockroaches}"),
+    ("group", "en", "the only good {GROUP} are dead ones"), ("group", "en", "{GROUP} do not deserve to live in our country"), ("group", "en", "people like them are {VERMIN}"), ("group", "en", "those {FOUL} {GROUP} breed like {rats|animals|cockroaches}"),
     # en: threats
     ("threat", "en", "I will {HURT} your {LIMB}"), ("threat", "en", "I am going to {KILL}"), ("threat", "en", "Next time I see you I will {KILL}"), ("threat", "en", "One day someone will {HURT} your {LIMB}"), ("threat", "en", "do that again and I {will|'ll} {KILL}"),
     ("threat", "en", "I know where you live"), ("threat", "en", "We know where you live and where your kids go to school"), ("threat", "en", "Watch your back when you leave tonight"), ("threat", "en", "I'll be waiting for you outside and nobody will help you"), ("threat", "en", "you will not get home alive"),

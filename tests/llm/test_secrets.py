@@ -26,7 +26,8 @@ def test_held_out_accuracy(labeller):
     assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.95
 
 
-#: Written by hand, in forms and with values that the generator of training lines doesn't know.
+#: Written by hand. Not independent of the training lines: ten of its words (dragon, sunshine, ..) are in the generator's
+#: lists, and two forms were added there after being missed. Without these words in the generator 35 of the 40 are found.
 USABLE = """
 password = "hunter2"
 password: correcthorse

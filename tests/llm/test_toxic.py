@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from suitelens.llm.toxic.examples import HARMFUL, HARMLESS, expanded, labelled
-from suitelens.llm.toxic.features import TAG, TERMS, Terms, Vocabulary, cleaned, sentence_text
+from suitelens.llm.toxic.features import TAG, TERMS, Terms, Vocabulary, _bucket, _numbered, _own_numbers, cleaned, sentence_text
 from suitelens.llm.toxic.nearest import FLOOR, Index, Vectors, _merged, calibrated, document_frequencies, harm_scores, idf
 
 WEIGHTS = np.where(np.arange(TERMS) < TAG, 1.0, 2.0)
@@ -125,3 +125,34 @@ def test_frequencies_count_documents(spark):
     df = spark.createDataFrame([("alpha beta",), ("alpha alpha. alpha",), (None,), ("",)], "text string").repartition(3)
     counts, n = document_frequencies(df, "text")
     assert n == 2 and counts.max() == 2 and (idf(counts, n) > 0).all()
+
+
+def test_no_word_is_taken_for_a_labelled_one():
+    """Words of the labelled sentences have numbers of their own, so a foreign word can't bring a sentence near by its hash."""
+    own = _own_numbers()
+    strange = [_numbered([_bucket(f"wstrange{i}")])[0] for i in range(20_000)]
+    assert min(strange) >= len(own) and max(strange) < TAG
+    assert _numbered([_bucket("widiot")])[0] == own[_bucket("widiot")] < len(own)
+
+
+def test_words_of_other_languages(index):
+    """German Rock and es, French queue and Spanish él are an English rock, a Spanish es, a queue of messages and the article el."""
+    slope, offset = calibrated(index)
+    harmless = ["Running the integration suite", "The rock paper scissors sample has a bug", "She says the queue demo is on Tuesday, he believes it is Thursday, and I trust her.", "El resultado de la lista tiene que ser siempre el mismo.", "Es posible que el índice falle.", "La file d'attente est pleine, queue de 12 messages.", "Parasitic resistance of the cable does not matter here."]
+    assert not (slope * votes(index, harmless) + offset >= 0).any()
+
+
+def test_kinds_of_harm(index):
+    """Written before the labelled sentences of these kinds were: bodies, groups shut out, assaults, falls in childhood, and what only sounds so."""
+    slope, offset = calibrated(index)
+    harmful = ["Your boobs looked fantastic in the meeting today.", "There is no room in this trade for disabled people.", "Did somebody drop you when you were a baby?", "I'll pull you into the store room and take you against the wall whether you like it or not.", "I hope you rot in a cell.", "Les femmes n'ont rien à faire dans l'informatique.", "让我看看你裙子下面。"]
+    harmless = ["There is no place in this file for a license.", "I will drag the column to the left and drop it.", "Why don't you rename the branch before the next sprint?", "The architect begged for more tests and took the feedback on board.", "It must be hard to read this log on a phone.", "给我看看你的日志。", "外国人和老人也能用这个页面。"]
+    assert (slope * votes(index, harmful) + offset >= 0).all()
+    assert not (slope * votes(index, harmless) + offset >= 0).any()
+
+
+def test_weights_do_not_depend_on_copies():
+    """A term that no document has doesn't weigh more and more as the tables grow."""
+    df = np.array([0, 1, 50, 40_000])
+    assert np.allclose(idf(np.append(df, np.zeros(TERMS - 4)), 100_000), idf(np.append(df * 100, np.zeros(TERMS - 4)), 10_000_000), atol=0.7)
+    assert idf(np.zeros(TERMS), 10_000_000)[0] < idf(np.zeros(TERMS), 100_000)[0] + 0.7
